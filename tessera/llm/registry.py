@@ -1,6 +1,8 @@
 """What ``__spark_entry__`` adds when this subpackage is present."""
 
-from . import queries
+from . import queries, similarity_queries, text_queries
 
-QUERIES = {**queries.QUERIES}
-ORACLE = {**queries.ORACLE}
+_MODULES = (text_queries, similarity_queries, queries)
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
