@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, materialize
-from .shingles import Shingler, ShingleRule, Sketcher, SketchPlan
+from .shingles import Shingler, ShingleRule, Sketcher, SketchPlan, mix
 
 #: Texts that are sketched together; bounds the memory of one vectorised pass.
 _SHINGLES_AT_ONCE = 400_000
@@ -44,11 +44,10 @@ def shingle_sets(records: DataFrame, rule: ShingleRule) -> DataFrame:
                 s = shingler(text, lang)
                 if not len(s):
                     continue
-                h = xxhash.xxh3_128(space.encode())
-                h.update(b"\x1f" + lang.encode() + b"\x1f")
-                h.update(s.tobytes())
+                # shingles of different spaces or languages never meet: not in a set, not in a band
+                s = np.sort(mix(s ^ np.uint64(xxhash.xxh3_64_intdigest(f"{space}\x1f{lang}".encode()))))
                 recs.append(rec)
-                classes.append(h.digest())
+                classes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sets.append(s.view(np.int64))
                 held += len(s)
                 if held > _SHINGLES_AT_ONCE:
