@@ -1,6 +1,6 @@
 """All registered core queries and their SQL."""
 
-from . import references
+from . import references, retrieval
 
-QUERIES = {**references.QUERIES}
-ORACLE = {**references.ORACLE}
+QUERIES = {**references.QUERIES, **retrieval.QUERIES}
+ORACLE = {**references.ORACLE, **retrieval.ORACLE}
