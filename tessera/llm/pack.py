@@ -123,7 +123,7 @@ def pack_items(
     shares = {q: (n or 0) / total for q, n in per_queue.items()} if total else dict.fromkeys(per_queue, 0.0)
     # what tasks before this one spent per queue and altogether; one row per (task, queue)
     grid = spent.groupBy("task").agg(
-        F.sum("spent").alias("all_spent"), F.map_from_entries(F.collect_list(F.struct("queue", "spent"))).alias("by_queue")
+        F.map_from_entries(F.collect_list(F.struct("queue", "spent"))).alias("by_queue")
     )
     # prefix sums in two levels: within blocks of tasks, then over the (few) blocks
     block = 4096
@@ -138,7 +138,7 @@ def pack_items(
     carried = (
         grid.select("task", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in named.values()])
         .join(blocks, "block")
-        .select("task", *[(F.col(n) + F.col(f"b{n}")).cast("long").alias(n) for n in named.values()])
+        .select(F.col("task").alias("owner"), *[(F.col(n) + F.col(f"b{n}")).cast("long").alias(n) for n in named.values()])
     )
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +166,7 @@ def pack_items(
     kind = sizes.schema["id"].dataType.simpleString()
     return (
         items.groupBy("task")
-        .cogroup(carried.groupBy("task"))
+        .cogroup(carried.groupBy("owner"))
         .applyInPandas(
             run, f"id {kind}, piece_no int, n_tokens bigint, container_id string, slot int, queue string"
         )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
-from . import defects
+from ..session import cut_lineage, read_table
+from . import defects, subjects
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -14,5 +14,19 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return defects.defective_answers(read_table(spark, base, "expansions"), prompts)
 
 
-QUERIES = {"p2_found": p2_found}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return _assigned(spark, base).select("doc_id", "subject_area")
+
+
+def p10_composition(spark: SparkSession, base: str) -> DataFrame:
+    return subjects.composition(cut_lineage(_assigned(spark, base)), read_table(spark, base, "documents").select("doc_id"))
+
+
+def _assigned(spark: SparkSession, base: str) -> DataFrame:
+    documents = read_table(spark, base, "documents").select("doc_id", "text")
+    model = subjects.fit_subjects(documents, read_table(spark, base, "subject_labels"), read_table(spark, base, "subject_areas"))
+    return subjects.assign_subjects(documents, model)
+
+
+QUERIES = {"p2_found": p2_found, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLE: dict[str, str] = {}
