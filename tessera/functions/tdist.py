@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -44,6 +45,6 @@ def two_sided(t: float, df: float) -> float:
     return regularised_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
