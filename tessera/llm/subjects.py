@@ -20,6 +20,7 @@ row id; without labels the seeds alone are the lexicon; empty tables give an emp
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter, defaultdict
@@ -42,7 +43,10 @@ STOP = frozenset(
     " it each other than between without against during except also only so more most out over".split()
 )
 
-UNIT = re.compile(r"[\r\n]+|(?<=[.!?])\s+(?=[\"'“‘(\[]?[^\W\d_a-z])|(?<=[。！？])|\s\|\s")
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+UNIT = re.compile(
+    r"[\r\n\t\v\f\u2028\u2029]+|(?<=[.!?])\s+(?=[\"'“‘(\[]?[^\W\d_a-z])|(?<=[。！？])|\s*[;；|｜•・◦‣]\s+|[;；]|\s[|｜/／]\s"
+)
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _CJK = re.compile(r"[㐀-鿿々ァ-ヿ゠ー・]+")
 _SEGMENT = re.compile(r"[^\s、。・「」（）()|,.:：;!?！？のにをはがともへやで]+")
@@ -50,18 +54,32 @@ _SCRIPT = re.compile(r"[㐀-鿿ぁ-ヿ]")
 
 
 def units_of(text: str) -> list[str]:
-    """Sentences and list items; a line that is a comma-separated keyword list gives its items."""
+    """Sentences and list items of a text, markup taken as a break between them.
+
+    A line without sentence punctuation whose parts are separated by commas is a keyword list."""
+    if "<" in text:
+        text = _TAG.sub("\n", text)
+    if "&" in text:
+        text = html.unescape(text)
     out = []
     for unit in UNIT.split(text):
-        if not unit or not unit.strip():
+        unit = " ".join(unit.split()) if unit else ""
+        if not unit:
             continue
-        if "、" in unit and "。" not in unit and not re.search(r"[をがは]", unit):
+        if "、" in unit and "。" not in unit and not _CLAUSE_MARK.search(unit):
             out.extend(x for x in unit.split("、") if x.strip())
+        elif ", " in unit and not _CLAUSE_WORD.search(unit) and not unit.rstrip().endswith("."):
+            out.extend(x for x in unit.split(", ") if x.strip())
         else:
             out.append(unit)
     return out
 
 
+#: What a clause has and an enumeration of terms lacks.
+_CLAUSE_MARK = re.compile(r"[をがは]")
+_CLAUSE_WORD = re.compile(r"\b(?:shall|may|must|is|are|has|have|need|can|cannot|applies|counts)\b", re.I)
+
+
 def _phrases(unit: str) -> set[str]:
     """Candidate terms of a lower-cased unit: word sequences of up to four, or script runs."""
     out: set[str] = set()
