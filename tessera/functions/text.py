@@ -30,17 +30,24 @@ def text_or_empty(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased maximal runs of Unicode letters and numbers; an empty array for an empty text."""
-    spaced = F.trim(F.regexp_replace(F.lower(text_or_empty(c)), r"[^\p{L}\p{N}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    spaced = F.regexp_replace(F.lower(text_or_empty(c)), r"[^\p{L}\p{N}]+", " ")
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def char_ngrams(c: Column | str, n: int) -> Column:
-    """Sequences of ``n`` characters of the joined tokens, for scripts without blanks."""
-    joined = F.array_join(tokens(c), "")
-    return F.when(
-        F.char_length(joined) >= n,
-        F.transform(F.sequence(F.lit(1), F.char_length(joined) - n + 1), lambda i: F.substring(joined, i, n)),
-    ).otherwise(F.array().cast("array<string>"))
+    """Sequences of ``n`` characters of the joined tokens, for scripts without blanks.
+
+    The characters are bound once as a lambda variable; positions are array accesses, so a text of any
+    length takes linear time."""
+    chars = F.array(F.split(F.array_join(tokens(c), ""), ""))
+    grams = F.transform(
+        chars,
+        lambda a: F.when(
+            F.size(a) >= n,
+            F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.concat(*[F.get(a, i + k) for k in range(n)])),
+        ).otherwise(F.array().cast("array<string>")),
+    )
+    return F.flatten(grams)
 
 
 def analyzed(c: Column | str, lang: Column | str, char_langs: tuple[str, ...] = ("ja",), n: int = 2) -> Column:
@@ -63,11 +70,16 @@ def head_words(c: Column | str, n: int = PASSAGE_WORDS) -> Column:
 def chunks(token_array: Column | str, max_length: int) -> Column:
     """Non-overlapping chunks of ``max(max_length - 8, 64)`` tokens; no tokens give no chunks."""
     size = max(max_length - 8, 64)
-    t = _col(token_array)
-    count = F.ceil(F.size(t) / size).cast("int")
-    return F.when(
-        F.size(t) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(t, i * size + 1, F.lit(size)))
-    ).otherwise(F.array().cast("array<array<string>>"))
+    cut = F.transform(
+        F.array(_col(token_array)),
+        lambda t: F.when(
+            F.size(t) > 0,
+            F.transform(
+                F.sequence(F.lit(0), F.ceil(F.size(t) / size).cast("int") - 1), lambda i: F.slice(t, i * size + 1, F.lit(size))
+            ),
+        ).otherwise(F.array().cast("array<array<string>>")),
+    )
+    return F.flatten(cut)
 
 
 def expand_sparse(query: Column | str, expansion: Column | str, repeats: int = QUERY_REPEATS) -> Column:

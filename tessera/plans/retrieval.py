@@ -29,13 +29,17 @@ def query(sql: str | None = None):
 
 # ---- shared pieces -----------------------------------------------------------------------------
 
-TOKENS = "list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), x -> x <> '')"
+TOKENS = "list_filter(string_split(trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-def _analyzed_sql(text: str, lang: str) -> str:
-    t = TOKENS.format(text)
-    joined = f"array_to_string({t}, '')"
-    return f"CASE WHEN {lang} = 'ja' THEN list_transform(range(1, greatest(length({joined}), 1)), i -> substr({joined}, i, 2)) ELSE {t} END"
+def _analyzed_sql(name: str, source: str, keep: str, text: str, lang: str) -> str:
+    """CTE ``name`` (keep, tokens) over ``source``: words, or pairs of neighbouring characters for ja.
+
+    The pairs are zipped lists: a lambda that captures a whole list would copy it per element."""
+    return f"""{name}_words AS (SELECT {keep}, {lang} AS lang_of, {TOKENS.format(text)} AS words FROM {source}
+), {name}_chars AS (SELECT *, CASE WHEN lang_of = 'ja' THEN string_split(array_to_string(words, ''), '') END AS chars FROM {name}_words
+), {name} AS (SELECT * EXCLUDE (lang_of, words, chars), CASE WHEN lang_of = 'ja'
+  THEN list_transform(list_zip(chars[1:len(chars) - 1], chars[2:len(chars)]), lambda p: p[1] || p[2]) ELSE words END AS tokens FROM {name}_chars)"""
 
 
 _JUDGED = """judged AS (
@@ -62,12 +66,8 @@ def _asked(spark: SparkSession, base: str) -> DataFrame:
     return q.select(F.col("_id").alias("qid"), F.col("lang").alias("space"), "lang", "task", "text")
 
 
-_DOCS = f"""docs AS (
-  SELECT _id AS doc_id, lang AS space, {_analyzed_sql('text', 'lang')} AS tokens FROM corpus
-)"""
-_ASKED = f"""asked AS (
-  SELECT _id AS qid, lang AS space, lang, task, text, {_analyzed_sql('text', 'lang')} AS tokens FROM queries WHERE ord % {EVERY} = 0
-)"""
+_DOCS = _analyzed_sql("docs", "corpus", "_id AS doc_id, lang AS space", "text", "lang")
+_ASKED = _analyzed_sql("asked", f"(SELECT * FROM queries WHERE ord % {EVERY} = 0)", "_id AS qid, lang AS space, lang, task, text", "text", "lang")
 _TERMS = """terms AS (
   SELECT space, qid, term, CAST(count(*) AS DOUBLE) AS qtf FROM (SELECT space, qid, unnest(tokens) AS term FROM asked) GROUP BY ALL
 )"""
@@ -184,9 +184,9 @@ def bm25_metrics(spark: SparkSession, base: str) -> DataFrame:
 _EXPANDED = f"""lastexp AS (
   SELECT qid, expansion FROM (SELECT qid, expansion, row_number() OVER (PARTITION BY qid ORDER BY exp_id DESC) AS n FROM expansions
     WHERE family = 'q2e_zs' AND qid IS NOT NULL) WHERE n = 1 AND coalesce(expansion, '') <> ''
-), expanded AS (
-  SELECT a.qid, a.space, a.tokens, e.qid IS NOT NULL AS has, {_analyzed_sql('e.expansion', 'a.lang')} AS etokens
-  FROM asked a LEFT JOIN lastexp e ON a.qid = e.qid
+), {_analyzed_sql("exptok", "lastexp l JOIN queries q ON q._id = l.qid", "l.qid", "l.expansion", "q.lang")}, expanded AS (
+  SELECT a.qid, a.space, a.tokens, e.qid IS NOT NULL AS has, e.tokens AS etokens
+  FROM asked a LEFT JOIN exptok e ON a.qid = e.qid
 ), terms AS (
   SELECT space, qid, term, sum(w) AS qtf FROM (
     SELECT space, qid, unnest(tokens) AS term, CASE WHEN has THEN 5.0 ELSE 1.0 END AS w FROM expanded
@@ -220,7 +220,7 @@ _AUGMENTED = f"""lastaug AS (
 ), augmented AS (
   SELECT c._id AS doc_id, c.lang, coalesce(c.text, '') || CASE WHEN coalesce(a.addition, '') <> '' THEN ' ' || a.addition ELSE '' END AS text
   FROM corpus c LEFT JOIN lastaug a ON a.doc_id = c._id
-), docs AS (SELECT doc_id, lang AS space, {_analyzed_sql('text', 'lang')} AS tokens FROM augmented)"""
+), {_analyzed_sql("docs", "augmented", "doc_id, lang AS space", "text", "lang")}"""
 
 
 @query(f"WITH {_AUGMENTED}, {_ASKED}, {_TERMS}, {_BM25} SELECT qid, doc_id, score, rank FROM ranked WHERE rank <= 100")
@@ -399,10 +399,10 @@ def _lists(spark: SparkSession, base: str) -> DataFrame:
 @query(f"""WITH {_LISTS}, {_JUDGED}, p AS (
   SELECT qid, len(ranked) - len(list_distinct(ranked)) AS dup, len(list_distinct(ranked)) > 10 AS cut,
     list_contains(list_slice((SELECT list(x ORDER BY n) FROM (SELECT x, min(n) AS n FROM (SELECT unnest(ranked) AS x, generate_subscripts(ranked, 1) AS n) GROUP BY x)), 1, 10), qid) AS own,
-    len(list_filter(list_slice((SELECT list(x ORDER BY n) FROM (SELECT x, min(n) AS n FROM (SELECT unnest(ranked) AS x, generate_subscripts(ranked, 1) AS n) GROUP BY x)), 1, 10), x -> x <> qid)) AS n
+    len(list_filter(list_slice((SELECT list(x ORDER BY n) FROM (SELECT x, min(n) AS n FROM (SELECT unnest(ranked) AS x, generate_subscripts(ranked, 1) AS n) GROUP BY x)), 1, 10), lambda x: x <> qid)) AS n
   FROM lists
 ), present AS (SELECT qid FROM p WHERE n > 0)
-SELECT count(*) AS n_lists, coalesce(sum(dup), 0) AS n_duplicates, count(*) FILTER (cut) AS n_truncated, count(*) FILTER (own) AS n_self_matches,
+SELECT count(*) AS n_lists, CAST(coalesce(sum(dup), 0) AS BIGINT) AS n_duplicates, count(*) FILTER (cut) AS n_truncated, count(*) FILTER (own) AS n_self_matches,
   (SELECT count(*) FROM (SELECT DISTINCT qid FROM judged) WHERE qid NOT IN (SELECT qid FROM present)) AS n_missing,
   (SELECT count(*) FROM present WHERE qid NOT IN (SELECT qid FROM judged)) AS n_extra,
   (SELECT count(*) FROM present WHERE qid IN (SELECT qid FROM judged)) AS n_scored FROM p""")
@@ -467,7 +467,7 @@ def _candidates(spark: SparkSession, base: str, keep_blank: bool = False) -> Dat
 @query(f"""WITH {_DOCS}, {_ASKED}, {_TERMS}, {_BM25}, both AS (
   SELECT r.qid, r.doc_id, r.rank AS first_rank, list_distinct({TOKENS.format('a.text')}) AS q, list_distinct({TOKENS.format('c.text')}) AS d
   FROM ranked r JOIN asked a ON a.qid = r.qid JOIN corpus c ON c._id = r.doc_id WHERE r.rank <= 100 AND coalesce(c.text, '') <> ''
-), s AS (SELECT qid, doc_id, first_rank, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / len(q) END, 6) AS score FROM both)
+), s AS (SELECT qid, doc_id, first_rank, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / len(q) END, 6) AS score FROM cand)
 SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_rank) AS rank FROM s""")
 def rerank_overlap(spark: SparkSession, base: str) -> DataFrame:
     return rerank.rerank(_candidates(spark, base), plugins.overlap_scorer)
@@ -513,7 +513,7 @@ def hard_negatives_replayed(spark: SparkSession, base: str) -> DataFrame:
 c AS (SELECT qid, count(*) AS n FROM pool GROUP BY qid), e AS (
   SELECT p.qid, p.n_pos, c.n, f.qid IS NOT NULL AS there FROM pos p LEFT JOIN (SELECT DISTINCT qid FROM first) f ON f.qid = p.qid LEFT JOIN c ON c.qid = p.qid)
 SELECT count(*) AS n_queries, count(*) FILTER (NOT there) AS n_missing, count(*) FILTER (there AND n IS NULL) AS n_without_candidates,
-  coalesce(sum(CASE WHEN n IS NOT NULL THEN n_pos END), 0) AS n_examples, coalesce(sum(n_pos), 0) AS n_positives, coalesce(sum(n), 0) AS n_candidates FROM e""")
+  CAST(coalesce(sum(CASE WHEN n IS NOT NULL THEN n_pos END), 0) AS BIGINT) AS n_examples, CAST(coalesce(sum(n_pos), 0) AS BIGINT) AS n_positives, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_candidates FROM e""")
 def mining_counters(spark: SparkSession, base: str) -> DataFrame:
     return mine.mining_counters(_first_hundred(spark, base), _judged(spark, base), True)
 
@@ -585,7 +585,7 @@ _PRICES = "prices AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i}, {o})" f
 
 
 @query(f"""WITH {_PRICES}, c AS (SELECT e.model, length(coalesce(q.text, '')) AS i, length(coalesce(e.expansion, '')) AS o FROM expansions e LEFT JOIN queries q ON q._id = e.qid)
-SELECT c.model, count(*) AS n_calls, sum(i) AS input_tokens, sum(o) AS output_tokens,
+SELECT c.model, count(*) AS n_calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
   round((sum(i) * coalesce(max(input_price), 0) + sum(o) * coalesce(max(output_price), 0)) / 1e6, 4) AS cost_usd FROM c LEFT JOIN prices p ON p.model = c.model GROUP BY c.model""")
 def cost_ledger(spark: SparkSession, base: str) -> DataFrame:
     q = read_table(spark, base, "queries").select(F.col("_id").alias("qid"), "text")
@@ -599,7 +599,7 @@ def _prices(spark: SparkSession) -> DataFrame:
 
 
 @query(f"""WITH {_PRICES}, c AS (SELECT task || '-' || lang AS cell, count(*) AS n FROM queries GROUP BY ALL)
-SELECT coalesce(cell, '__total__') AS cell, sum(n) AS n_queries, round(sum(n * 9 * (10000 * 0.40 + 100 * 1.60) / 1e6), 6) AS cost_usd FROM c GROUP BY ROLLUP (cell)""")
+SELECT coalesce(cell, '__total__') AS cell, CAST(sum(n) AS BIGINT) AS n_queries, round(sum(n * 9 * (10000 * 0.40 + 100 * 1.60) / 1e6), 6) AS cost_usd FROM c GROUP BY ROLLUP (cell)""")
 def cost_rollup(spark: SparkSession, base: str) -> DataFrame:
     cells = read_table(spark, base, "queries").groupBy(F.concat_ws("-", "task", "lang").alias("cell")).agg(F.count(F.lit(1)).alias("n_queries"))
     return report.cost_estimate(cells.withColumn("model", F.lit("lm-small")), _prices(spark), 9, 10_000, 100)
