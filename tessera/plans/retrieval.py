@@ -464,7 +464,7 @@ def _candidates(spark: SparkSession, base: str, keep_blank: bool = False) -> Dat
     return rerank.candidate_texts(_bm25(spark, base), _asked(spark, base), _texts(spark, base), 100, keep_blank)
 
 
-@query(f"""WITH {_DOCS}, {_ASKED}, {_TERMS}, {_BM25}, both AS (
+@query(f"""WITH {_DOCS}, {_ASKED}, {_TERMS}, {_BM25}, cand AS (
   SELECT r.qid, r.doc_id, r.rank AS first_rank, list_distinct({TOKENS.format('a.text')}) AS q, list_distinct({TOKENS.format('c.text')}) AS d
   FROM ranked r JOIN asked a ON a.qid = r.qid JOIN corpus c ON c._id = r.doc_id WHERE r.rank <= 100 AND coalesce(c.text, '') <> ''
 ), s AS (SELECT qid, doc_id, first_rank, round(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, d)) / len(q) END, 6) AS score FROM cand)
