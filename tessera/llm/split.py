@@ -35,7 +35,7 @@ _BOUNDARY = re.compile(
     r"(?P<paragraph>(?:\r\n|\n|\r)[ \t　]*(?:\r\n|\n|\r)\s*)"
     r"|(?P<item>(?:\r\n|\n|\r)[ \t　]*(?=" + _LIST_HEAD + r"))"
     r"|(?P<line>(?:\r\n|\n|\r))"
-    r"|(?P<sentence>(?:[.!?][\"'”’)\]]*\s+(?=[\"'“‘(\[]?[^\W\d_a-z])|[。！？｡][」』）)]*))"
+    r"|(?P<sentence>(?:[.!?][\"'”’)\]]*[ \t\xa0　]+(?=[\"'“‘(\[]?[^\W\d_a-z])|[。！？｡][」』）)]*))"
 )
 _CLAUSE = re.compile(r"[,;:、，；：]\s*|[.]\s+")
 _BLANK = re.compile(r"\s+")
