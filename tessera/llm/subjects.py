@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample the lexicon and the threshold are fitted on (documents).
 MAX_SAMPLE = 3000
-#: Bound of the text taken from one sampled document while fitting (characters); scoring reads all.
-MAX_SAMPLE_CHARS = 20_000
 
 # Words that neither begin nor end a term.
 STOP = frozenset(
@@ -309,7 +307,7 @@ def fit_subjects(
     if n > max_sample:
         clean = clean.where(F.xxhash64(F.lit("sample"), "doc_id") % 1_000_003 < int(1_000_003 * (2 * max_sample / n - 1)))
     rows = (
-        documents.select("doc_id", F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"))
+        documents.select("doc_id", "text")
         .where("text is not null")
         .join(clean, "doc_id")
         .select("doc_id", "text", "areas")
