@@ -22,11 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
 from .tokens import OTHER
 
 CAPACITY = 2048
-#: Tokens one packing task owns: 4,096 containers; at most one of them ends partly empty.
-TOKENS_PER_TASK = 4096 * CAPACITY
+#: Tokens one packing task owns: 1,024 containers; at most one of them ends partly empty.
+TOKENS_PER_TASK = 1024 * CAPACITY
 
 
 class Queue:
@@ -70,7 +71,9 @@ def pack(
     empty: list[tuple[object, int, int]] = []
     for q, key, piece, size in items:
         if size:
-            queues.setdefault(q, Queue(capacity)).put(size, (key, piece))
+            if q not in queues:
+                queues[q] = Queue(capacity)
+            queues[q].put(size, (key, piece))
         else:
             empty.append((key, piece, 0))
     deficit = {q: float((deficits or {}).get(q, 0.0)) for q in queues}
@@ -114,14 +117,19 @@ def pack_items(
     is read once for the sums and once for the packing.
     """
     queue = F.when(F.col("queue").isin(known), F.col("queue")).otherwise(F.lit(OTHER))
-    items = sizes.select("id", queue.alias("queue"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    # ids travel as strings: a null among integers would turn them into floats on the way through pandas
+    items = sizes.select(F.col("id").cast("string").alias("id"), queue.alias("queue"), F.col("n_tokens").cast("long").alias("n_tokens"))
     total = items.agg(F.sum("n_tokens")).first()[0] or 0
     tasks = max(1, -(-total // tokens_per_task))
     items = items.withColumn("task", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("long"))
     spent = items.groupBy("task", "queue").agg(F.sum("n_tokens").alias("spent"))
     per_queue = {r["queue"]: r["n"] for r in items.groupBy("queue").agg(F.sum("n_tokens").alias("n")).collect()}
     shares = {q: (n or 0) / total for q, n in per_queue.items()} if total else dict.fromkeys(per_queue, 0.0)
-    # what tasks before this one spent per queue and altogether; one row per (task, queue)
+    schema = "id string, piece_no int, n_tokens bigint, container_id string, slot int, queue string"
+    if not shares:
+        nothing = sizes.sparkSession.createDataFrame([], schema)
+        return nothing.withColumn("id", F.col("id").cast(sizes.schema["id"].dataType))
+    # what tasks before this one spent per queue; one row per (task, queue)
     grid = spent.groupBy("task").agg(
         F.map_from_entries(F.collect_list(F.struct("queue", "spent"))).alias("by_queue")
     )
@@ -163,14 +171,15 @@ def pack_items(
                 rows.append((key, piece, size, f"{task}-{k}", slot, names[key]))
         return pd.DataFrame(rows, columns=["id", "piece_no", "n_tokens", "container_id", "slot", "queue"])
 
-    kind = sizes.schema["id"].dataType.simpleString()
-    return (
-        items.groupBy("task")
-        .cogroup(carried.groupBy("owner"))
-        .applyInPandas(
-            run, f"id {kind}, piece_no int, n_tokens bigint, container_id string, slot int, queue string"
-        )
+    # packing is work on few bytes: without a stated number of partitions it would be merged into one
+    width = int(min(tasks, 4 * shuffle_width(sizes.sparkSession)))
+    packed = (
+        items.repartition(width, "task")
+        .groupBy("task")
+        .cogroup(carried.repartition(width, "owner").groupBy("owner"))
+        .applyInPandas(run, schema)
     )
+    return packed.withColumn("id", F.col("id").cast(sizes.schema["id"].dataType))
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
