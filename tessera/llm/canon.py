@@ -78,10 +78,8 @@ def canonical_sql(column: str, present: dict[str, str]) -> str:
     ignorable = "".join(c if c == "-" else f"\\x{{{ord(c):X}}}" for c in IGNORABLE)
     invisible = f"[\\p{{Cf}}{ignorable}]"
     keep = "".join(c if c == "-" else f"\\x{{{ord(c):X}}}" for c in VISIBLE_FORMAT)
-    out = f"regexp_replace({column}, {_quoted(invisible)}, '', 'g')" if not keep else (
-        # RE2 has no class subtraction: visible format characters are captured and put back
-        f"regexp_replace({column}, {_quoted(f'([{keep}])|{invisible}')}, '\\1', 'g')"
-    )
+    # RE2 has no class subtraction: visible format characters are captured and put back
+    out = f"regexp_replace({column}, {_quoted(f'([{keep}])|{invisible}')}, '\\1', 'g')"
     out = f"regexp_replace({out}, '[\\p{{Zs}}\\t]', ' ', 'g')"
     for ch, new in present.items():
         out = f"replace({out}, {_quoted(ch)}, {_quoted(new)})"
@@ -97,38 +95,43 @@ def _connection():
     return con
 
 
-def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, canonical): the text of every record in its consistent form."""
+#: Bytes of text that one SQL call sees; a single longer text is still taken whole.
+_BYTES_AT_ONCE = 16 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """(id, body) tables of bounded size: a batch of very long texts is taken in several calls."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * _BYTES_AT_ONCE // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield pa.Table.from_batches([batch.slice(at, rows)]).rename_columns(["id", "body"])
+
+
+def _run(batches: Iterator[pa.RecordBatch], select: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``select`` over every part, with ``{form}`` standing for the expression of the consistent form."""
     con, many = _connection(), tables()[2]
     found = _quoted(_char_class(many))
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]).rename_columns(["id", "body"])
+    schema = pa.schema([(n, pa.string()) for n in names])
+    for rows in _parts(batches):
         con.register("batch", rows)
         hits = con.execute(
             f"SELECT DISTINCT unnest(regexp_extract_all(body, {found})) FROM batch WHERE regexp_matches(body, {found})"
         ).fetchall()
-        sql = canonical_sql("body", {h[0]: many[h[0]] for h in hits})
-        out = con.sql(f"SELECT id, {sql} AS canonical FROM batch").to_arrow_table()
+        form = canonical_sql("body", {h[0]: many[h[0]] for h in sorted(hits)})
+        out = con.sql(select.replace("{form}", form)).to_arrow_table()
         con.unregister("batch")
-        yield from out.cast(pa.schema([("id", pa.string()), ("canonical", pa.string())])).to_batches()
+        yield from out.cast(schema).to_batches()
+
+
+def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, canonical): the text of every record in its consistent form."""
+    return _run(batches, "SELECT id, {form} AS canonical FROM batch", ["id", "canonical"])
 
 
 def key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, raw digest, canonical digest): what a comparison of all records needs."""
-    con, many = _connection(), tables()[2]
-    found = _quoted(_char_class(many))
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]).rename_columns(["id", "body"])
-        con.register("batch", rows)
-        hits = con.execute(
-            f"SELECT DISTINCT unnest(regexp_extract_all(body, {found})) FROM batch WHERE regexp_matches(body, {found})"
-        ).fetchall()
-        sql = canonical_sql("body", {h[0]: many[h[0]] for h in hits})
-        out = con.sql(
-            f"SELECT id, md5(body) AS raw, md5({sql}) AS canon FROM batch WHERE body IS NOT NULL"
-        ).to_arrow_table()
-        con.unregister("batch")
-        yield from out.cast(pa.schema([(c, pa.string()) for c in ("id", "raw", "canon")])).to_batches()
+    select = "SELECT id, md5(body) AS raw, md5({form}) AS canon FROM batch WHERE body IS NOT NULL"
+    return _run(batches, select, ["id", "raw", "canon"])
 
 
 def canonical_text(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
