@@ -73,14 +73,19 @@ class Shingler:
         return np.unique(h)
 
 
+#: Bits of the short sketch.
+SHORT = 128
+
+
 @dataclass(frozen=True)
 class SketchPlan:
     """``samples`` minwise samples serve ``layouts`` random layouts of disjoint bands of ``rows`` samples,
     and all of them are folded into one odd sketch of ``bits`` bits.
 
     A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands, for the default 96
-    bands 0.9996 at s = 0.6, 0.99999 at 0.65 and more beyond.  Five rows keep what merely shares common phrases apart: at s = 0.05
-    one pair in 30,000 becomes a candidate.  ``slack`` is how far the sketch's estimate may lie below
+    bands 0.9996 at s = 0.6, 0.99999 at 0.65 and more beyond.  Five rows keep what merely shares common
+    phrases apart: at s = 0.05 one pair in 30,000 shares a band, and of these the short sketch lets one in
+    eighty pass.  ``slack`` is how far the sketch's estimate may lie below
     the threshold before a candidate is dropped without exact verification: more than five standard
     deviations of the estimate.
     """
@@ -144,6 +149,18 @@ class Sketcher:
                 parity[rows, bit] ^= 1
         return np.packbits(parity, axis=1, bitorder="little").view(np.uint64)
 
+    def short_sketches(self, minima: np.ndarray) -> np.ndarray:
+        """(texts, 2): one parity bit of each of the first 128 samples, small enough to travel with postings."""
+        parity = (mix(minima[:SHORT]) & np.uint64(1)).astype(np.uint8).T
+        return np.packbits(np.ascontiguousarray(parity), axis=1, bitorder="little").view(np.uint64)
+
+    @staticmethod
+    def most_short_bits(threshold: float) -> int:
+        """Differing short bits beyond which a pair is below the threshold: the mean at the threshold, where a
+        bit differs with probability (1 - s) / 2, plus five standard deviations."""
+        p = (1 - threshold) / 2
+        return int(np.ceil(SHORT * p + 5 * np.sqrt(SHORT * p * (1 - p))))
+
     def most_differing_bits(self, threshold: float) -> int:
         """The XOR population count above which the estimated similarity is below threshold - slack.
 

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, materialize
-from .shingles import Shingler, ShingleRule, Sketcher, SketchPlan, mix
+from .shingles import SHORT, Shingler, ShingleRule, Sketcher, SketchPlan, mix
 
 #: Texts that are sketched together; bounds the memory of one vectorised pass.
 _SHINGLES_AT_ONCE = 400_000
@@ -69,7 +69,7 @@ def _set_batch(recs, classes, sets, schema) -> pa.RecordBatch:
 
 
 def sketch_classes(sets: DataFrame, plan: SketchPlan) -> DataFrame:
-    """(cls, shingles, ...) -> the same rows with ``bands`` and ``sketch``."""
+    """(cls, shingles, ...) -> the same rows with ``bands``, ``sketch`` and ``short``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(plan)
@@ -87,14 +87,15 @@ def sketch_classes(sets: DataFrame, plan: SketchPlan) -> DataFrame:
                 minima = sketcher.minima([flat[local[i] : local[i + 1]] for i in range(to - at)])
                 bands = sketcher.band_keys(minima).view(np.int64)
                 odd = np.ascontiguousarray(sketcher.odd_sketches(minima)).view(np.int64)
+                short = np.ascontiguousarray(sketcher.short_sketches(minima)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, _fixed_lists(bands), _fixed_lists(odd)],
-                    names=[*part.schema.names, "bands", "sketch"],
+                    [*part.columns, _fixed_lists(bands), _fixed_lists(odd), _fixed_lists(short)],
+                    names=[*part.schema.names, "bands", "sketch", "short"],
                 )
                 at = to
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)
-    return sets.mapInArrow(run, f"{kept}, bands array<bigint>, sketch array<bigint>")
+    return sets.mapInArrow(run, f"{kept}, bands array<bigint>, sketch array<bigint>, short array<bigint>")
 
 
 def _fixed_lists(values: np.ndarray) -> pa.ListArray:
@@ -103,6 +104,26 @@ def _fixed_lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
 
 
+def band_candidates(left: DataFrame, right: DataFrame, keep: Column, threshold: float) -> DataFrame:
+    """(cls_a, cls_b): pairs that share a band and whose short sketches do not rule them out.
+
+    The short sketches travel with the postings, so what merely shares a band is dropped inside the
+    join and never shuffled as a pair."""
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(
+            F.explode("bands").alias("band"),
+            F.col("cls").alias(f"cls_{x}"),
+            *[F.col("short")[i].alias(f"s{i}_{x}") for i in range(SHORT // 64)],
+        )
+
+    differing = sum(
+        (F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SHORT // 64)), F.lit(0)
+    )
+    both = side(left, "a").join(side(right, "b"), "band").where(keep)
+    return both.where(differing <= Sketcher.most_short_bits(threshold)).select("cls_a", "cls_b").distinct()
+
+
 def verified_pairs(candidates: DataFrame, classes: DataFrame, threshold: float, plan: SketchPlan) -> DataFrame:
     """(cls_a, cls_b, similarity) of the candidates that reach the threshold exactly."""
     most = Sketcher(plan).most_differing_bits(threshold)
@@ -141,14 +162,7 @@ def near_duplicates(
     """
     sets = materialize(shingle_sets(records, rule))
     classes = materialize(sketch_classes(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), plan))
-    posting = classes.select("cls", F.explode("bands").alias("band"))
-    candidates = (
-        posting.select("band", F.col("cls").alias("cls_a"))
-        .join(posting.select("band", F.col("cls").alias("cls_b")), "band")
-        .where("cls_a < cls_b")
-        .select("cls_a", "cls_b")
-        .distinct()
-    )
+    candidates = band_candidates(classes, classes, F.col("cls_a") < F.col("cls_b"), threshold)
     links = cut_lineage(verified_pairs(candidates, classes, threshold, plan))
     return sets.select("rec", "cls").distinct(), links
 
@@ -248,13 +262,8 @@ def cross_split_pairs(
         F.bool_or(~is_train).alias("in_eval"),
     )
     classes = materialize(sketch_classes(classes, plan))
-    posting = classes.select("cls", "in_train", "in_eval", F.explode("bands").alias("band"))
-    candidates = (
-        posting.where("in_train").select("band", F.col("cls").alias("cls_a"))
-        .join(posting.where("in_eval").select("band", F.col("cls").alias("cls_b")), "band")
-        .where("cls_a <> cls_b")
-        .select("cls_a", "cls_b")
-        .distinct()
+    candidates = band_candidates(
+        classes.where("in_train"), classes.where("in_eval"), F.col("cls_a") != F.col("cls_b"), threshold
     )
     same = classes.where("in_train and in_eval").select(
         F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("similarity")
