@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import construct, dense, evaluate, mine, plugins, report, rerank, sparse, stats
-from ..session import read_table
+from ..session import materialize, read_table, spread
 
 EVERY = 50
 QUERIES, ORACLE = {}, {}
@@ -148,8 +148,9 @@ def qrels_last_wins(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tokens = T.analyzed("text", "lang")
-    return sparse.postings(docs, tokens), sparse.collection_stats(docs, tokens)
+    # analysis is the costly part: done once, into a written table, and by all tasks even if the input is one file
+    analysed = materialize(spread(docs).select("space", "doc_id", T.analyzed("text", "lang").alias("tokens")))
+    return sparse.postings(analysed, F.col("tokens")), sparse.collection_stats(analysed, F.col("tokens"))
 
 
 @query(f"""WITH {_DOCS}, p AS (SELECT space, doc_id, unnest(tokens) AS term FROM docs)

@@ -62,3 +62,9 @@ def input_partitions(df: DataFrame) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all tasks if the input comes in far fewer parts; otherwise as it is."""
+    width = shuffle_width(df.sparkSession)
+    return df.repartition(width) if input_partitions(df) < width // 2 else df
