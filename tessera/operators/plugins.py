@@ -33,7 +33,8 @@ class ModelSpec:
 
     key: str
     dim: int = 64
-    max_length: int = 512
+    #: tokens of a text that are read, None for all
+    max_length: int | None = 512
     query_prefix: str = ""
     passage_prefix: str = ""
     pooling: str = "mean"
