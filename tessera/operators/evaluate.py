@@ -124,21 +124,29 @@ def lists_to_run(prepared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def audit(prepared: DataFrame, judgments: DataFrame, filter_self: bool = False) -> DataFrame:
-    """One row of counters: queries, duplicates, truncated, self matches, missing, extra."""
-    judged = judgments.select("qid").distinct()
-    present = prepared.where(F.size("ranked") > 0).select("qid").distinct()
-    counters = prepared.agg(
+def audit(prepared: DataFrame, judgments: DataFrame, filter_self: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Counters per ``by`` (one row without): lists, duplicates, truncated, self matches, missing, extra.
+
+    A query may have several lists; it is present if one of them is not empty."""
+    judged = judgments.select("qid").distinct().withColumn("judged", F.lit(True))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    per_qid = prepared.groupBy(*by, "qid").agg(
         F.count(F.lit(1)).alias("n_lists"),
-        F.coalesce(F.sum("n_duplicates"), F.lit(0)).alias("n_duplicates"),
-        F.coalesce(F.sum(F.col("is_truncated").cast("int")), F.lit(0)).alias("n_truncated"),
-        F.coalesce(F.sum(F.col("has_self").cast("int")), F.lit(0)).alias("n_self_matches"),
+        F.sum("n_duplicates").alias("n_duplicates"),
+        F.sum(F.col("is_truncated").cast("int")).alias("n_truncated"),
+        F.sum(F.col("has_self").cast("int")).alias("n_self_matches"),
+        F.max(F.size("ranked") > 0).alias("present"),
+    )
+    counters = per_qid.join(judged, "qid", "left").groupBy(*by).agg(
+        *[total(c).alias(c) for c in ("n_lists", "n_duplicates", "n_truncated", "n_self_matches")],
+        F.count_if(F.col("present") & F.col("judged").isNull()).alias("n_extra"),
+        F.count_if(F.col("present") & F.col("judged").isNotNull()).alias("n_scored"),
+    )
+    # a one-row table beside the counters
+    n_judged = judged.agg(F.count(F.lit(1)).alias("n_judged"))
+    return counters.join(F.broadcast(n_judged)).select(
+        *by, "n_lists", "n_duplicates", "n_truncated", "n_self_matches", (F.col("n_judged") - F.col("n_scored")).alias("n_missing"), "n_extra", "n_scored"
     )
-    missing = judged.join(present, "qid", "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
-    extra = present.join(judged, "qid", "left_anti").agg(F.count(F.lit(1)).alias("n_extra"))
-    both = present.join(judged, "qid", "left_semi").agg(F.count(F.lit(1)).alias("n_scored"))
-    # one-row tables side by side
-    return counters.join(F.broadcast(missing)).join(F.broadcast(extra)).join(F.broadcast(both))
 
 
 def require_overlap(run: DataFrame, judgments: DataFrame) -> None:

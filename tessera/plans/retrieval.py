@@ -412,6 +412,28 @@ def rank_eval_audit(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.audit(prepared, _judged(spark, base), True)
 
 
+@query(f"""WITH {_JUDGED}, lists AS MATERIALIZED (
+  SELECT model_key, qid, ranked, row_number() OVER () AS id FROM dense_runs WHERE ranked IS NOT NULL
+), firsts AS (
+  SELECT id, doc_id, min(n) AS n FROM (SELECT id, unnest(ranked) AS doc_id, generate_subscripts(ranked, 1) AS n FROM lists) GROUP BY id, doc_id
+), placed AS (SELECT id, doc_id, row_number() OVER (PARTITION BY id ORDER BY n) AS place FROM firsts
+), p AS (
+  SELECT l.id, l.model_key, l.qid, len(l.ranked) - count(f.place) AS dup, count(f.place) > 1000 AS cut,
+    count(*) FILTER (f.place <= 1000 AND f.doc_id = l.qid) > 0 AS own, count(*) FILTER (f.place <= 1000 AND f.doc_id <> l.qid) AS n
+  FROM lists l LEFT JOIN placed f ON f.id = l.id GROUP BY l.id, l.model_key, l.qid, l.ranked
+), lists_of AS (
+  SELECT model_key, count(*) AS n_lists, CAST(sum(dup) AS BIGINT) AS n_duplicates, count(*) FILTER (cut) AS n_truncated, count(*) FILTER (own) AS n_self_matches FROM p GROUP BY model_key
+), present AS (
+  SELECT DISTINCT model_key, qid, qid IN (SELECT qid FROM judged) AS judged FROM p WHERE n > 0
+), found AS (SELECT model_key, count(*) FILTER (NOT judged) AS n_extra, count(*) FILTER (judged) AS n_scored FROM present GROUP BY model_key)
+SELECT l.*, (SELECT count(DISTINCT qid) FROM judged) - coalesce(n_scored, 0) AS n_missing, coalesce(n_extra, 0) AS n_extra, coalesce(n_scored, 0) AS n_scored
+FROM lists_of l LEFT JOIN found f ON f.model_key IS NOT DISTINCT FROM l.model_key""")
+def rank_eval_audit_models(spark: SparkSession, base: str) -> DataFrame:
+    """Every list of every model and shard, counted per model; ``rank_eval_audit`` sees the newest list of a query only."""
+    lists = read_table(spark, base, "dense_runs").where("ranked is not null").select("model_key", "qid", "ranked")
+    return evaluate.audit(evaluate.prepare_lists(lists, filter_self=True), _judged(spark, base), True, ["model_key"])
+
+
 @query("SELECT model_key, count(*) FILTER (list_contains(ranked, qid)) AS n_self, count(*) AS n_lists FROM dense_runs GROUP BY ALL")
 def self_rank_warning(spark: SparkSession, base: str) -> DataFrame:
     own = F.coalesce(F.array_contains("ranked", F.col("qid")), F.lit(False))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 
 from tessera.plans import retrieval
@@ -35,3 +36,24 @@ def test_encoded_corpus_topk_reads_whole_texts(spark, tmp_path):
         assert [r["doc_id"] for r in mine] == [d for _, d in expected]
         assert np.allclose([r["score"] for r in mine], [s for s, _ in expected], atol=1e-5)
     assert {r["doc_id"] for r in got if r["rank"] == 1} == {"d3", "d1"} and {r["qid"] for r in got} == {"q0", "q1"}
+
+
+def test_rank_eval_audit_models_counts_every_list(spark, tmp_path):
+    long = [f"d{i}" for i in range(1001)]
+    lists = [
+        ("m", "q", 1, ["d1", "d1", "d2"]), ("m", "q", 2, ["d3", "d3", "d3", "q"]), ("m", "q", 2, [f"d{i}" for i in range(10)] + ["q"]),
+        ("m", "own", 1, ["own", "own"]), ("m", "new", 1, ["d1"]), ("m", "r", 1, None), ("m", "r", 2, []),
+        ("n", "q", 1, long), ("n", "r", 1, [*long[:1000], "r"]), ("o", "r", 1, []), (None, "q", 1, ["d1"]),
+    ]
+    qrels = [(1, "q", "d1", 1), (2, "q", "d2", 1), (3, "r", "d1", 0), (4, "own", "d1", 1), (5, None, "d1", 1)]
+    spark.createDataFrame(lists, "model_key string, qid string, shard int, ranked array<string>").write.parquet(f"{tmp_path}/dense_runs.parquet")
+    judged = spark.createDataFrame(qrels, "qrel_id bigint, query_id string, corpus_id string, score int")
+    judged.selectExpr("*", "timestamp'2024-01-01' AS loaded_at").write.parquet(f"{tmp_path}/qrels.parquet")
+    names = ("n_lists", "n_duplicates", "n_truncated", "n_self_matches", "n_missing", "n_extra", "n_scored")
+    got = {r["model_key"]: tuple(r[c] for c in names) for r in retrieval.rank_eval_audit_models(spark, str(tmp_path)).collect()}
+    assert got == {"m": (6, 4, 0, 3, 2, 1, 1), "n": (2, 0, 2, 0, 1, 0, 2), "o": (1, 0, 0, 0, 3, 0, 0), None: (1, 0, 0, 0, 2, 0, 1)}
+    con = duckdb.connect()
+    for t in ("dense_runs", "qrels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    columns = ", ".join(("model_key", *names))
+    assert {r[0]: r[1:] for r in con.execute(f"SELECT {columns} FROM ({retrieval.ORACLE['rank_eval_audit_models']})").fetchall()} == got
