@@ -6,8 +6,8 @@ belongs to that area; phrases that occur (almost) only in units of one area beco
 second round starts from those terms.  Occurrences are counted as the automaton will find them, so a
 fragment that also lives inside other areas' words is refused.
 
-Scoring: every unit (sentence or list item) of every document is matched by one Aho-Corasick
-automaton; a term weighs its rarity, ln(units / units with the term); an area's score is the sum of
+Scoring: every unit (sentence or list item) of every document is matched once by one Aho-Corasick
+automaton; a term weighs its rarity, ln(units / units with the term) over all documents; an area's score is the sum of
 its terms' weights divided by 1 + ln(1 + unit length in words).  A unit is about an area whose score
 reaches the threshold and holds the required share of all areas' weights.  A document deals with
 every area that at least ``min_units`` of its units are about.  The threshold is calibrated on the
@@ -24,13 +24,15 @@ import html
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Bound of the labelled sample the lexicon and the threshold are fitted on (documents).
 MAX_SAMPLE = 3000
 
@@ -127,34 +129,37 @@ class Matcher:
         if self._ready:
             self._automaton.make_automaton()
 
-    def find(self, lowered: str) -> set[str]:
-        """The terms of a lower-cased unit that are not part of a longer matched term."""
+    def _spans(self, lowered: str) -> list[tuple[int, int, str]]:
         if not self._ready:
-            return set()
+            return []
         spans = []
         for last, term in self._automaton.iter(lowered):
             start = last + 1 - len(term)
             if _boundaries_hold(lowered, start, last + 1, term):
                 spans.append((start, last + 1, term))
+        return spans
+
+    def both(self, lowered: str) -> tuple[set[str], set[str]]:
+        """``find`` and ``every`` of a lower-cased unit in one scan."""
+        spans = self._spans(lowered)
+        every = {s[2] for s in spans}
         if len(spans) < 2:
-            return {s[2] for s in spans}
+            return every, every
         spans.sort(key=lambda s: (s[0], -s[1]))
         out, reach = set(), -1
         for start, end, term in spans:
             if end > reach:
                 out.add(term)
                 reach = end
-        return out
+        return out, every
+
+    def find(self, lowered: str) -> set[str]:
+        """The terms of a lower-cased unit that are not part of a longer matched term."""
+        return self.both(lowered)[0]
 
     def every(self, lowered: str) -> set[str]:
         """All terms of a lower-cased unit, overlapping ones included."""
-        if not self._ready:
-            return set()
-        return {
-            term
-            for last, term in self._automaton.iter(lowered)
-            if _boundaries_hold(lowered, last + 1 - len(term), last + 1, term)
-        }
+        return {s[2] for s in self._spans(lowered)}
 
 
 @dataclass(frozen=True)
@@ -231,27 +236,18 @@ def _without_fragments(terms: dict[str, tuple[str, float]], total: Counter) -> d
     return {t: v for t, v in terms.items() if longer[t] < 0.9 * total[t] and t not in extends}
 
 
-def unit_areas(unit: str, matcher: Matcher, threshold: float, share: float) -> list[str]:
-    """The areas one unit is about."""
-    lowered = unit.lower()
-    scores: dict[str, float] = {}
-    for t in matcher.find(lowered):
-        area, weight = matcher.terms[t]
-        scores[area] = scores.get(area, 0.0) + weight
-    if not scores:
-        return []
-    total = sum(scores.values())
+def _norm(lowered: str) -> float:
     length = len(lowered) / 2 if _SCRIPT.search(lowered) else lowered.count(" ") + 1
-    norm = 1.0 + math.log1p(length)
-    return [a for a, s in scores.items() if s >= share * total and s / norm >= threshold]
+    return 1.0 + math.log1p(length)
 
 
-def document_areas(text: str, matcher: Matcher, model: SubjectModel) -> dict[str, int]:
-    """area -> number of units about it, for the areas the document deals with."""
-    counts: Counter = Counter()
-    for unit in units_of(text):
-        counts.update(unit_areas(unit, matcher, model.threshold, model.share))
-    return {a: n for a, n in counts.items() if n >= model.min_units}
+def _strong_areas(found: Iterable[tuple[str, float]], norm: float, share: float) -> list[tuple[str, float]]:
+    """(area, score) of the areas that hold the share of a unit's weight; ``found``: (area, weight) of its terms."""
+    scores: dict[str, float] = {}
+    for area, weight in found:
+        scores[area] = scores.get(area, 0.0) + weight
+    total = sum(scores.values())
+    return [(a, s / norm) for a, s in scores.items() if s >= share * total]
 
 
 def calibrate(texts: list[str], labels: list[set[str]], terms: dict[str, tuple[str, float]], share: float, min_units: int) -> float:
@@ -262,15 +258,8 @@ def calibrate(texts: list[str], labels: list[set[str]], terms: dict[str, tuple[s
         rows = []
         for u in units_of(t):
             lowered = u.lower()
-            s: dict[str, float] = {}
-            for term in matcher.find(lowered):
-                a, w = terms[term]
-                s[a] = s.get(a, 0.0) + w
-            if s:
-                total = sum(s.values())
-                length = len(lowered) / 2 if _SCRIPT.search(lowered) else lowered.count(" ") + 1
-                norm = 1.0 + math.log1p(length)
-                rows.extend((a, x / norm) for a, x in s.items() if x >= share * total)
+            found = sorted(matcher.find(lowered))
+            rows.extend(_strong_areas([terms[x] for x in found], _norm(lowered), share))
         scored.append(rows)
     grid = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0]
     result = []
@@ -285,16 +274,26 @@ def calibrate(texts: list[str], labels: list[set[str]], terms: dict[str, tuple[s
     return next(t for t, f in zip(grid, result) if f >= best - 0.002)
 
 
-def fit_subjects(
-    documents: DataFrame,
-    labels: DataFrame,
-    areas: DataFrame,
-    max_sample: int = MAX_SAMPLE,
-    share: float = 0.5,
-    min_units: int = 2,
-) -> SubjectModel:
-    """Fits lexicon and threshold on at most about ``max_sample`` labelled documents, chosen by a hash of
-    their id.  The areas and the sample are small by construction and are collected."""
+def _rates(counts: dict[str, int], most: int) -> dict[str, float]:
+    """area -> share of its documents to draw: equal numbers of each, what small areas leave goes to the larger."""
+    left, quota = float(most), 0.0
+    for i, n in enumerate(sorted(counts.values())):
+        quota = left / (len(counts) - i)
+        left -= min(n, quota)
+    return {a: min(1.0, quota / n) for a, n in counts.items()}
+
+
+def _sampled(labelled: DataFrame, max_sample: int) -> DataFrame:
+    """At most about ``max_sample`` rows of (doc_id, areas), drawn per area by a hash of the id."""
+    if labelled.count() <= max_sample:
+        return labelled
+    counts = {r["area"]: r["count"] for r in labelled.select(F.explode("areas").alias("area")).groupBy("area").count().collect()}
+    rate = F.greatest(F.lit(0.0), *[F.when(F.array_contains("areas", a), F.lit(x)).otherwise(F.lit(0.0)) for a, x in sorted(_rates(counts, max_sample).items())])
+    return labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003)) < rate * 1_000_003)
+
+
+def _fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_sample: int, share: float, min_units: int) -> tuple[SubjectModel, DataFrame]:
+    """The model and the matched units of all documents, which it takes its weights from."""
     area_rows = [r.asDict() for r in areas.where("subject_area is not null").collect()]
     names = sorted({r["subject_area"] for r in area_rows})
     clean = (
@@ -303,13 +302,10 @@ def fit_subjects(
         .groupBy("doc_id")
         .agg(F.collect_set("area").alias("areas"))  # at most one entry per area
     )
-    n = clean.count()
-    if n > max_sample:
-        clean = clean.where(F.xxhash64(F.lit("sample"), "doc_id") % 1_000_003 < int(1_000_003 * (2 * max_sample / n - 1)))
     rows = (
         documents.select("doc_id", "text")
         .where("text is not null")
-        .join(clean, "doc_id")
+        .join(_sampled(clean, max_sample), "doc_id")
         .select("doc_id", "text", "areas")
         .orderBy("doc_id")
         .collect()
@@ -317,30 +313,95 @@ def fit_subjects(
     texts, truth = [r["text"] for r in rows], [set(r["areas"]) for r in rows]
     units = [u.lower() for t in texts for u in units_of(t)]
     terms = learn_terms(units, seeds_of(area_rows))
-    return SubjectModel(terms, calibrate(texts, truth, terms, share, min_units) if texts else 0.0, share, min_units)
+    matched = materialize(matched_units(documents, list(terms)))
+    terms = _with_rarity(terms, matched)
+    return SubjectModel(terms, calibrate(texts, truth, terms, share, min_units) if texts else 0.0, share, min_units), matched
 
 
-def assign_subjects(documents: DataFrame, model: SubjectModel) -> DataFrame:
-    """(doc_id, subject_area, n_units) for every area a document deals with."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded: learned from a bounded sample
+def fit_subjects(
+    documents: DataFrame,
+    labels: DataFrame,
+    areas: DataFrame,
+    max_sample: int = MAX_SAMPLE,
+    share: float = 0.5,
+    min_units: int = 2,
+) -> SubjectModel:
+    """Fits lexicon and threshold on at most about ``max_sample`` labelled documents, drawn per area by a hash
+    of their id, and takes the weights from all documents.  The areas and the sample are small by construction
+    and are collected."""
+    return _fit(documents, labels, areas, max_sample, share, min_units)[0]
+
+
+def matched_units(documents: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, n_units, held, norms, found) of every text, terms as places in ``terms``: ``held`` has a term once
+    for each unit with it, ``norms`` and ``found`` have the units with terms."""
+    shared = documents.sparkSession.sparkContext.broadcast(terms)  # bounded: learned from a bounded sample
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("held", ints), ("norms", pa.list_(pa.float64())), ("found", pa.list_(ints))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher({t: ("", 1.0) for t in shared.value})
+        place = {t: i for i, t in enumerate(shared.value)}
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                units, held, norms, found = units_of(text), [], [], []
+                for unit in units:
+                    lowered = unit.lower()
+                    longest, every = matcher.both(lowered)
+                    if every:
+                        held.extend(place[t] for t in every)
+                        norms.append(_norm(lowered))
+                        found.append([place[t] for t in sorted(longest)])
+                rows.append((key, len(units), held, norms, found))
+            columns = zip(*rows) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    narrow = documents.select(F.col("doc_id").cast("long"), "text").where("text is not null and text <> ''")
+    return narrow.mapInArrow(run, "doc_id bigint, n_units bigint, held array<int>, norms array<double>, found array<array<int>>")
+
+
+def _with_rarity(terms: dict[str, tuple[str, float]], matched: DataFrame) -> dict[str, tuple[str, float]]:
+    """``terms`` weighed by their rarity among the units of all documents; one number per term is collected."""
+    n_units = max(2, matched.agg(F.coalesce(F.sum("n_units"), F.lit(0))).first()[0])
+    total = dict(matched.select(F.explode("held").alias("term")).groupBy("term").count().collect())
+    return {t: (area, max(0.01, math.log(n_units / max(1, total.get(i, 0))))) for i, (t, (area, _)) in enumerate(terms.items())}
+
+
+def _assign(matched: DataFrame, model: SubjectModel) -> DataFrame:
+    shared = matched.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("subject_area", pa.string()), ("n_units", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        matcher = Matcher(m.terms)
+        weights = list(m.terms.values())
         for batch in batches:
-            ids, found, counts = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for area, n in document_areas(text, matcher, m).items():
-                    ids.append(key)
-                    found.append(area)
-                    counts.append(n)
+            ids, areas, counts = [], [], []
+            for key, norms, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                units: Counter = Counter()
+                for norm, places in zip(norms, found):
+                    units.update(a for a, x in _strong_areas([weights[p] for p in places], norm, m.share) if x >= m.threshold)
+                for area, n in units.items():
+                    if n >= m.min_units:
+                        ids.append(key)
+                        areas.append(area)
+                        counts.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int32())], schema=schema
+                [pa.array(ids, pa.int64()), pa.array(areas, pa.string()), pa.array(counts, pa.int32())], schema=schema
             )
 
-    narrow = documents.select(F.col("doc_id").cast("long"), "text").where("text is not null and text <> ''")
-    return narrow.mapInArrow(run, "doc_id bigint, subject_area string, n_units int")
+    return matched.select("doc_id", "norms", "found").mapInArrow(run, "doc_id bigint, subject_area string, n_units int")
+
+
+def assign_subjects(documents: DataFrame, model: SubjectModel) -> DataFrame:
+    """(doc_id, subject_area, n_units) for every area a document deals with."""
+    return _assign(matched_units(documents, list(model.terms)), model)
+
+
+def fit_and_assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, max_sample: int = MAX_SAMPLE, share: float = 0.5, min_units: int = 2) -> DataFrame:
+    """``assign_subjects`` of the documents the model is fitted on; every text is matched once."""
+    model, matched = _fit(documents, labels, areas, max_sample, share, min_units)
+    return _assign(matched, model)
 
 
 def composition(assigned: DataFrame, documents: DataFrame) -> DataFrame:

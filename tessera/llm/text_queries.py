@@ -24,8 +24,7 @@ def p10_composition(spark: SparkSession, base: str) -> DataFrame:
 
 def _assigned(spark: SparkSession, base: str) -> DataFrame:
     documents = read_table(spark, base, "documents").select("doc_id", "text")
-    model = subjects.fit_subjects(documents, read_table(spark, base, "subject_labels"), read_table(spark, base, "subject_areas"))
-    return subjects.assign_subjects(documents, model)
+    return subjects.fit_and_assign(documents, read_table(spark, base, "subject_labels"), read_table(spark, base, "subject_areas"))
 
 
 QUERIES = {"p2_found": p2_found, "p10_found": p10_found, "p10_composition": p10_composition}

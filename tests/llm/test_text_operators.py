@@ -197,3 +197,22 @@ def test_subject_assignment(spark, rows):
     assert (100, "energy") in {(r["doc_id"], r["subject_area"]) for r in subjects.assign_subjects(documents, bare).collect()}
     comp = {r["subject_area"]: r["n_documents"] for r in subjects.composition(subjects.assign_subjects(documents.where("doc_id < 20"), model), documents.where("doc_id < 20")).collect()}
     assert comp == {"energy": 10, "sport": 10, "none": 0}
+
+
+def test_subject_weights_come_from_all_documents(spark):
+    import math
+
+    areas = spark.createDataFrame([("energy", "", "wind farm, gas pipe", ""), ("sport", "", "ski lift", "")], "subject_area string, title_ja string, scope_note_en string, scope_note_ja string")
+    docs = [(i, "The wind farm is open. The ski lift is shut." if i < 4 else "The gas pipe is old. It is long.") for i in range(40)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "energy") for i in range(4)], "doc_id bigint, subject_area string")
+    terms = subjects.fit_subjects(documents, labels, areas).terms
+    assert terms["gas pipe"] == ("energy", pytest.approx(math.log(80 / 36))) and terms["wind farm"][1] == pytest.approx(math.log(80 / 4))
+    both = lambda df: sorted(map(tuple, df.collect()))
+    assert both(subjects.fit_and_assign(documents, labels, areas)) == both(subjects.assign_subjects(documents, subjects.fit_subjects(documents, labels, areas)))
+
+
+def test_subject_sample_is_drawn_per_area(spark):
+    labelled = spark.createDataFrame([(i, ["rare"] if i < 30 else ["common"]) for i in range(3030)], "doc_id bigint, areas array<string>")
+    drawn = [r["areas"][0] for r in subjects._sampled(labelled, 200).collect()]
+    assert drawn.count("rare") == 30 and 120 < drawn.count("common") < 230
