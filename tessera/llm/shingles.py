@@ -79,8 +79,8 @@ SHORT = 128
 
 @dataclass(frozen=True)
 class SketchPlan:
-    """``samples`` minwise samples serve ``layouts`` random layouts of disjoint bands of ``rows`` samples,
-    and all of them are folded into one odd sketch of ``bits`` bits.
+    """Each of ``layouts`` layouts has ``samples`` minwise samples of its own, in disjoint bands of ``rows``
+    samples; those of the first layout are folded into one odd sketch of ``bits`` bits.
 
     A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands, for the default 96
     bands 0.9996 at s = 0.6, 0.99999 at 0.65 and more beyond.  Five rows keep what merely shares common
@@ -106,10 +106,12 @@ class Sketcher:
     def __init__(self, plan: SketchPlan):
         self.plan = plan
         rng = np.random.default_rng(plan.seed)
-        k = plan.samples
+        k = plan.samples * plan.layouts
         self._a = rng.integers(1, 2**63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._b = rng.integers(0, 2**63, size=k, dtype=np.uint64)
-        order = [rng.permutation(k)[: k - k % plan.rows] for _ in range(plan.layouts)]
+        # no sample serves two bands, so that bands are independent
+        used = plan.samples - plan.samples % plan.rows
+        order = [i * plan.samples + np.arange(used) for i in range(plan.layouts)]
         self._bands = np.concatenate(order).reshape(-1, plan.rows)
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +146,7 @@ class Sketcher:
         parity = np.zeros((texts, p.bits), dtype=np.uint8)
         rows = np.arange(texts)
         with np.errstate(over="ignore"):
-            for i in range(minima.shape[0]):
+            for i in range(p.samples):
                 bit = (mix(minima[i] + np.uint64(i + 1) * _M1) % np.uint64(p.bits)).astype(np.int64)
                 parity[rows, bit] ^= 1
         return np.packbits(parity, axis=1, bitorder="little").view(np.uint64)

@@ -2,7 +2,7 @@
 
 1.  Every text becomes a shingle set; equal sets of one space (table and language) are one *class*,
     so exact copies, however many, meet the join as a single row.
-2.  Classes get minwise samples, grouped in bands, and an odd sketch: all samples folded into a
+2.  Classes get minwise samples, grouped in bands, and an odd sketch: samples folded into a
     parity bitmap whose XOR population count estimates high similarities precisely.
 3.  Classes that share a band key are candidates; the odd sketches drop the clearly dissimilar ones;
     the exact Jaccard similarity of the sets decides the rest.

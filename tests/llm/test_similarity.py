@@ -119,3 +119,9 @@ def test_cross_split(spark, rows):
             if None not in (splits[a], splits[b]) and (splits[a] == "train") != (splits[b] == "train"):
                 expected.add((space, a, b))
     assert got == expected
+
+
+def test_bands_are_independent():
+    plan = SketchPlan()
+    chosen = Sketcher(plan)._bands
+    assert chosen.shape == (plan.bands, plan.rows) and len(np.unique(chosen)) == chosen.size
