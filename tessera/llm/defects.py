@@ -135,11 +135,21 @@ def is_refusal(text: str) -> bool:
     return own <= 0.25 * len(core)
 
 
+_HANGUL = re.compile(r"[\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\uac00-\ud7ff]")
+#: Letters between the Latin blocks and the CJK ones: Greek, Cyrillic, Arabic, Thai and the rest.
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u10ff\u1200-\u1cff\u1f00-\u1fff\u2c00-\u2c5f\u2c80-\u2dff]")
+
+
 def language_of(text: str) -> str | None:
-    """``ja``, ``zh``, a language of ``FUNCTION_WORDS`` or None when the text gives no evidence."""
+    """``ja``, ``zh``, ``ko``, ``other`` (any other script than Latin), a language of ``FUNCTION_WORDS`` or None
+    when the text gives no evidence."""
     letters = [c for c in text if c.isalpha()]
     if not letters:
         return None
+    if sum(1 for c in letters if _HANGUL.match(c)) > 0.5 * len(letters):
+        return "ko"
+    if sum(1 for c in letters if _OTHER_SCRIPT.match(c)) > 0.5 * len(letters):
+        return "other"
     cjk = sum(1 for c in letters if ord(c) > 0x2E7F)
     if cjk > 0.5 * len(letters):
         kana = sum(1 for c in letters if 0x3041 <= ord(c) <= 0x30FF)

@@ -216,3 +216,15 @@ def test_subject_sample_is_drawn_per_area(spark):
     labelled = spark.createDataFrame([(i, ["rare"] if i < 30 else ["common"]) for i in range(3030)], "doc_id bigint, areas array<string>")
     drawn = [r["areas"][0] for r in subjects._sampled(labelled, 200).collect()]
     assert drawn.count("rare") == 30 and 120 < drawn.count("common") < 230
+
+
+@pytest.mark.parametrize(
+    ("text", "lang", "other"),
+    [
+        ("Оператор должен проверить уровень хранения.", "en", True), ("Ο διαχειριστής ελέγχει το δίκτυο.", "en", True),
+        ("يجب على المشغل أن يفحص الشبكة.", "en", True), ("ผู้ประกอบการต้องตรวจสอบ", "en", True), ("운영자는 저장 수준을 감사하여야 한다.", "ja", True),
+        ("The operator shall measure α and β.", "en", False), ("水質基準を調査する。", "ja", False), ("水質基準\n騒音規制", "ja", False),
+    ],
+)
+def test_language_by_script(text, lang, other):
+    assert defects.is_other_language(text, lang) is other
