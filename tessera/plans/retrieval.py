@@ -326,7 +326,7 @@ def _maxp(spark: SparkSession, base: str, chunk_q: bool, chunk_d: bool) -> DataF
     v = _vectors(spark, base)
     asked = v.where((F.floor(F.col("vec_id") / 5) if chunk_q else F.col("vec_id")) % EVERY == 0)
     docs = _parents(v, "doc_id", chunk_d)
-    return dense.search(_parents(asked, "qid", chunk_q), dense.by_parent(docs) if chunk_d else docs, 10)
+    return dense.search(_parents(asked, "qid", chunk_q), docs, 10)
 
 
 @query(_maxp_sql("q.vec_id", "d.vec_id // 5", f"q.vec_id % {EVERY} = 0"))
@@ -348,8 +348,8 @@ def maxp_both(spark: SparkSession, base: str) -> DataFrame:
 def encoded_corpus_topk(spark: SparkSession, base: str) -> DataFrame:
     """The encoder plug-in end to end: encode corpus and queries as whole texts, search, ten best each."""
     encoder = plugins.HashingEncoder(plugins.ModelSpec("hashing", 64, None, query_prefix="query: ", passage_prefix="passage: "))
-    docs = plugins.encode(_texts(spark, base), encoder, False)
-    asked = plugins.encode(_asked(spark, base), encoder, True, "qid")
+    docs = materialize(plugins.encode(spread(_texts(spark, base)), encoder, False))
+    asked = materialize(plugins.encode(_asked(spark, base), encoder, True, "qid"))
     parent = lambda df, i: df.select(i, F.col(i).alias("parent"), "embedding")
     return dense.search(parent(asked, "qid"), parent(docs, "doc_id"), 10)
 

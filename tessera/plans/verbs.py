@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dense, evaluate, mine, plugins, report, rerank, sparse, stats
+from ..session import materialize
 from ..sources import readers, writers
 
 STRATEGIES = ("truncate", "maxp-doc", "maxp-q", "maxp-both")
@@ -74,9 +75,10 @@ def run_dense(queries: DataFrame, corpus: DataFrame, encoder: plugins.Encoder, s
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     chunk_d, chunk_q = strategy in ("maxp-doc", "maxp-both"), strategy in ("maxp-q", "maxp-both")
-    docs = encode_dense(corpus, encoder, False, "doc_id", max_length if chunk_d else None)
-    asked = encode_dense(queries, encoder, True, "qid", max_length if chunk_q else None)
-    return dense.search(asked, dense.by_parent(docs) if chunk_d else docs, k)
+    # encoding is the costly part: once, into written tables
+    docs = materialize(encode_dense(corpus, encoder, False, "doc_id", max_length if chunk_d else None))
+    asked = materialize(encode_dense(queries, encoder, True, "qid", max_length if chunk_q else None))
+    return dense.search(asked, docs, k)
 
 
 def run_rerank(run: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: plugins.PairScorer, top_k: int = 100) -> DataFrame:

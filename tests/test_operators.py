@@ -141,6 +141,31 @@ def test_chunk_maxima_against_brute_force(spark):
         assert [got[(f"q{p}", r)] for r in (1, 2, 3)] == top
 
 
+def test_many_blocks_and_groups_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    qv, dv = rng.integers(-3, 4, size=(30, 3)), rng.integers(-3, 4, size=(400, 3))  # many ties
+    nan = float("nan")
+    q = [(f"c{i}", f"q{i // 2}", [float(x) for x in v]) for i, v in enumerate(qv)] + [("n", "qn", [nan, 1.0, 1.0]), ("m", "qm", None)]
+    # one document owns a third of all chunks, and a third of all rows are copies of one row
+    d = [(f"c{i}", "hot" if i % 3 == 0 else f"d{i % 90}", [float(x) for x in v]) for i, v in enumerate(dv)]
+    d += [("copy", "dc", [1.0, 1.0, 1.0])] * 200 + [("null", "dn", None), ("nan", "dx", [nan, 0.0, 0.0])]
+    qs = spark.createDataFrame([(*r, "x") for r in q], "qid string, parent string, embedding array<double>, score string").repartition(3)
+    ds = spark.createDataFrame([(*r, 1) for r in d], "doc_id string, parent string, embedding array<double>, rank int").repartition(5)
+    best = {}
+    for _, a, x in q:
+        for _, b, y in d:
+            s = sum(m * n for m, n in zip(x or (), y or ())) if x and y else nan
+            if s == s:
+                best[a, b] = max(s, best.get((a, b), s))
+    expected = set()
+    for a in {r[1] for r in q}:
+        mine = sorted(((s, b) for (p, b), s in best.items() if p == a), reverse=True)[:7]
+        expected |= {(a, b, s, n + 1) for n, (s, b) in enumerate(mine)}
+    for block, group in ((5, 40), (2048, 65_536), (100, 7)):
+        assert {tuple(r) for r in dense.search(qs, ds, 7, block, group).select("qid", "doc_id", "score", "rank").collect()} == expected
+    assert "qm" not in {r[0] for r in expected} and len(expected) == 15 * 7
+
+
 def test_search_of_nothing_and_normalisation(spark):
     empty = spark.createDataFrame([], "qid string, parent string, embedding array<double>")
     d = spark.createDataFrame([("x", "x", [3.0, 4.0])], "doc_id string, parent string, embedding array<double>")
