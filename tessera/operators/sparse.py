@@ -1,12 +1,17 @@
-"""Inverted index and BM25 search.
+"""Document index and BM25 search.
 
 score(q, d) = sum over terms of qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf / (tf + k1 (1 - b + b dl / avgdl)).
 Repeated query terms act linearly, so a query expansion is a weight (5 qtf + qtf_e), never a longer text.
 
-The index is a table of postings (space, term, doc_id, tf, dl) with df beside it; ``space`` keeps
-languages apart.  Search joins query terms and postings on (space, term), sums partial scores
-map-side, and keeps the best k per query.  Joins are left to the planner, which broadcasts a side
-only where its measured size allows, and splits the partition of a frequent term otherwise.
+The index has one row per document (space, doc_id, dl, terms) with its term frequencies counted inside
+the row, so building it shuffles nothing; ``space`` keeps languages apart.  Document frequencies are
+counted only for queried terms.  Search spreads the documents once by id: their postings meet the
+weighted query terms there (the planner broadcasts these only if their measured size allows, and
+otherwise joins by term and splits a frequent one), scores are complete in place and only every task's
+best k of a query travel on.
+
+Defined results for odd input: null and empty texts have no terms but count as documents; a query
+without terms has no results; null ids form no result; repeated ids add up, ids are expected to be unique.
 """
 
 from __future__ import annotations
@@ -14,40 +19,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 K1, B = 0.9, 0.4
 DIGITS = 6
 
 
+def term_vector(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a token array in linear time after sorting it; null for no tokens.
+
+    Arrays are bound as lambda variables, so that none is computed twice."""
+
+    def runs(a: Column) -> Column:
+        n = F.size(a)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        spans = F.transform(
+            F.array(starts),
+            lambda s: F.transform(s, lambda x, j: F.struct(F.get(a, x).alias("term"), (F.coalesce(F.get(s, j + 1), n) - x).alias("tf"))),
+        )
+        return F.when(n > 0, F.get(spans, F.lit(0)))
+
+    return F.get(F.transform(F.array(F.sort_array(tokens)), runs), F.lit(0))
+
+
 def term_counts(texts: DataFrame, id_col: str, token_array: Column) -> DataFrame:
-    """(space, id, term, tf, dl): term frequencies without regrouping documents by id first."""
+    """(space, id, dl, terms), one row per text."""
     t = texts.select("space", F.col(id_col).alias("id"), token_array.alias("tokens"))
-    return (
-        t.select("space", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("space", "id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return t.select("space", "id", F.size("tokens").alias("dl"), term_vector(F.col("tokens")).alias("terms"))
 
 
 def postings(documents: DataFrame, token_array: Column, id_col: str = "doc_id") -> DataFrame:
-    """(space, term, doc_id, tf, dl) of ``documents`` (space, id, text columns of the expression)."""
+    """The index (space, doc_id, dl, terms) of ``documents`` (space, id, text columns of the expression)."""
     return term_counts(documents, id_col, token_array).withColumnRenamed("id", "doc_id")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("space", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    each = index.select("space", F.explode("terms").alias("t")).select("space", "t.term", "t.tf")
+    return each.groupBy("space", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def collection_stats(documents: DataFrame, token_array: Column) -> DataFrame:
     """(space, n_docs, avgdl), one row per space; documents without tokens count."""
-    return documents.select("space", F.size(token_array).alias("dl")).groupBy("space").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
-    )
+    return index_stats(documents.select("space", F.size(token_array).alias("dl")))
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    """``collection_stats`` of an index."""
+    return index.groupBy("space").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, token_array: Column, weight: float = 1.0) -> DataFrame:
     """(space, qid, term, qtf); blank queries have no terms and thus no results."""
-    t = term_counts(queries, "qid", token_array)
-    return t.select("space", F.col("id").alias("qid"), "term", (F.col("tf") * F.lit(float(weight))).alias("qtf"))
+    t = term_counts(queries, "qid", token_array).select("space", F.col("id").alias("qid"), F.explode("terms").alias("t"))
+    return t.select("space", "qid", "t.term", (F.col("t.tf") * F.lit(float(weight))).alias("qtf"))
 
 
 def weighted_terms(query: DataFrame, expansion: DataFrame) -> DataFrame:
@@ -65,17 +89,16 @@ def best_k(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
 
 def bm25_scores(terms: DataFrame, index: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc_id, score) of every document that shares a term with the query."""
-    weights = (
-        document_frequencies(index)
-        .join(stats, "space")
-        .select(
-            "space", "term", "avgdl", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-        )
-    )
-    queried = terms.join(weights, ["space", "term"])
+    asked = materialize(terms)
+    each = index.select("space", F.explode("terms.term").alias("term"))
+    df = each.join(asked.select("space", "term").distinct(), ["space", "term"], "left_semi").groupBy("space", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df.join(stats, "space").select("space", "term", "avgdl", idf.alias("idf")), ["space", "term"])
+    # the one exchange of postings: with all of a document in one task its scores need no other
+    placed = index.repartition("doc_id").select("space", "doc_id", "dl", F.explode("terms").alias("t")).select("space", "doc_id", "dl", "t.*")
     tf = F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
     return (
-        queried.join(index, ["space", "term"])
+        weighted.join(placed, ["space", "term"])
         .groupBy("qid", "doc_id")
         .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), DIGITS).alias("score"))
     )

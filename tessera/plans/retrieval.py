@@ -149,8 +149,8 @@ def qrels_last_wins(spark: SparkSession, base: str) -> DataFrame:
 
 def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # analysis is the costly part: done once, into a written table, and by all tasks even if the input is one file
-    analysed = materialize(spread(docs).select("space", "doc_id", T.analyzed("text", "lang").alias("tokens")))
-    return sparse.postings(analysed, F.col("tokens")), sparse.collection_stats(analysed, F.col("tokens"))
+    index = materialize(sparse.postings(spread(docs), T.analyzed("text", "lang")))
+    return index, sparse.index_stats(index)
 
 
 @query(f"""WITH {_DOCS}, p AS (SELECT space, doc_id, unnest(tokens) AS term FROM docs)
