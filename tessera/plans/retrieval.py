@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import text as T
 from ..operators import construct, dense, evaluate, mine, plugins, report, rerank, sparse, stats
 from ..session import materialize, read_table, spread
@@ -182,6 +183,19 @@ def bm25_metrics(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.mean_metrics(scores, ["task", "lang"])
 
 
+_STOPPED = "SELECT * REPLACE (CASE WHEN space = 'en' THEN list_filter(tokens, lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in english.STOP_WORDS) + ")) ELSE tokens END AS tokens) FROM"
+
+
+@query(f"""WITH {_DOCS.replace('), docs AS', '), all_docs AS')}, docs AS ({_STOPPED} all_docs), {_ASKED.replace('), asked AS', '), all_asked AS')}, asked AS ({_STOPPED} all_asked), {_TERMS}, {_BM25}
+SELECT qid, doc_id, score, rank FROM ranked WHERE rank <= 100""")
+def bm25_stop_words(spark: SparkSession, base: str) -> DataFrame:
+    """The search with English stop words left out of texts, queries and lengths."""
+    tokens = T.analyzed("text", "lang")
+    kept = F.when(F.col("lang") == "en", english.without_stop_words(tokens)).otherwise(tokens)
+    index = materialize(sparse.postings(spread(_texts(spark, base)), kept))
+    return sparse.bm25_search(sparse.query_terms(_asked(spark, base), kept), index, sparse.index_stats(index), 100)
+
+
 _EXPANDED = f"""lastexp AS (
   SELECT qid, expansion FROM (SELECT qid, expansion, row_number() OVER (PARTITION BY qid ORDER BY exp_id DESC) AS n FROM expansions
     WHERE family = 'q2e_zs' AND qid IS NOT NULL) WHERE n = 1 AND coalesce(expansion, '') <> ''

@@ -4,16 +4,17 @@ evaluate, aggregate, test.  Each returns a lazy frame unless it writes; all comp
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dense, evaluate, mine, plugins, report, rerank, sparse, stats
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources import readers, writers
 
+Analyzer = Callable[[Column], Column]
 STRATEGIES = ("truncate", "maxp-doc", "maxp-q", "maxp-both")
 
 
@@ -26,21 +27,34 @@ def augmented_corpus(corpus: DataFrame, augmentation: DataFrame | None, suffix:
     return corpus.join(augmentation, "doc_id", "left").withColumn("text", T.augment("text", "contents")).drop("contents")
 
 
-def build_bm25_index(root: str, lang: str, corpus: DataFrame, augmentation: DataFrame | None = None, suffix: str | None = None) -> None:
-    """Postings and collection statistics, kept if they exist."""
+def _tokens(lang: str, analyzer: Analyzer | None):
+    """Token expression of a text column; the analyzer (such as ``english``) works on the token array."""
+    return lambda c: T.analyzed(c, F.lit(lang)) if analyzer is None else analyzer(T.analyzed(c, F.lit(lang)))
+
+
+def build_bm25_index(
+    root: str, lang: str, corpus: DataFrame, augmentation: DataFrame | None = None, suffix: str | None = None, analyzer: Analyzer | None = None
+) -> None:
+    """Document index and collection statistics, kept if they exist; an index needs its own analyzer again in search."""
     docs = augmented_corpus(corpus, augmentation, suffix).withColumn("space", F.lit(lang))
-    tokens = T.analyzed("text", F.lit(lang))
     base = f"{root}/bm25_{lang}" + (f"_{suffix}" if suffix else "")
-    writers.write_table(f"{base}/postings", sparse.postings(docs, tokens))
-    writers.write_table(f"{base}/stats", sparse.collection_stats(docs, tokens))
+    writers.write_table(f"{base}/postings", sparse.postings(spread(docs), _tokens(lang, analyzer)("text")))
+    writers.write_table(f"{base}/stats", sparse.index_stats(corpus.sparkSession.read.parquet(f"{base}/postings")))
 
 
 def run_bm25(
-    spark: SparkSession, root: str, lang: str, queries: DataFrame, expansions: DataFrame | None = None, suffix: str | None = None, k: int = 1000
+    spark: SparkSession,
+    root: str,
+    lang: str,
+    queries: DataFrame,
+    expansions: DataFrame | None = None,
+    suffix: str | None = None,
+    k: int = 1000,
+    analyzer: Analyzer | None = None,
 ) -> DataFrame:
     base = f"{root}/bm25_{lang}" + (f"_{suffix}" if suffix else "")
     index, coll = spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/stats")
-    tokens = lambda c: T.analyzed(c, F.lit(lang))
+    tokens = _tokens(lang, analyzer)
     q = queries.withColumn("space", F.lit(lang))
     if expansions is None:
         return sparse.bm25_search(sparse.query_terms(q, tokens("text")), index, coll, k)
