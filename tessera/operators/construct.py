@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dice, simpson
+from ..session import materialize
 from .mine import hash_order
 
 SPLITS = ("train", "validation", "test")
@@ -68,17 +69,43 @@ def corpus_versions(versions: DataFrame, amendments: DataFrame) -> DataFrame:
 
 
 def similarity_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """(on, left_id, right_id, dice, simpson, is_match, is_minor) of pairs that share a token inside
-    their block ``on``; sides have (on, id, tokens, n_chars)."""
-    a = left.select(*on, F.col("id").alias("left_id"), F.col("tokens").alias("ta"), F.col("n_chars").alias("na"))
-    b = right.select(*on, F.col("id").alias("right_id"), F.col("tokens").alias("tb"), F.col("n_chars").alias("nb"))
-    scored = a.join(b, on).withColumn("dice", dice("ta", "tb")).withColumn("simpson", simpson("ta", "tb"))
-    long_enough = F.least("na", "nb") > SIMPSON_CHARS
+    """(on, left_id, right_id, dice, simpson, is_match, is_minor) of the pairs of a block ``on`` that match, i.e.
+    reach the Dice threshold, or the Simpson threshold with long enough texts; sides have (on, id, tokens, n_chars).
+
+    A matching pair shares at least ``DICE_MIN`` of the smaller token set (both thresholds imply it), so it shares one
+    of that set's rarest tokens, those beyond a share of ``DICE_MIN``: only these of the smaller side
+    meet all tokens of the larger.  Blocks of any size are joined by token, never all pairs of a block.
+    Null tokens or ids match nothing.
+    """
+    sides = {}
+    for x, df in (("l", left), ("r", right)):
+        sides[x] = materialize(
+            df.where("id is not null and tokens is not null")
+            .select(*on, F.col("id").alias(f"{x}_id"), F.array_distinct("tokens").alias(f"{x}_tokens"), F.col("n_chars").alias(f"{x}_chars"))
+            .withColumn(f"{x}_size", F.size(f"{x}_tokens"))
+        )
+    each = [d.select(*on, F.col(f"{x}_id").alias("id"), F.explode(f"{x}_tokens").alias("token")) for x, d in sides.items()]
+    frequency = each[0].unionByName(each[1]).groupBy(*on, "token").agg(F.count(F.lit(1)).alias("n"))
+
+    def postings(x: str) -> DataFrame:
+        """One row per token with the place of the token among its set's, the rarest first."""
+        rows = sides[x].select(*on, f"{x}_id", f"{x}_size", F.explode(f"{x}_tokens").alias("token")).join(frequency, [*on, "token"])
+        w = Window.partitionBy(*on, f"{x}_id").orderBy("n", "token")
+        return rows.withColumn(f"{x}_place", F.row_number().over(w)).select(*on, "token", f"{x}_id", f"{x}_size", f"{x}_place")
+
+    a, b = materialize(postings("l")), materialize(postings("r"))
+    first = lambda x: F.col(f"{x}_place") <= F.col(f"{x}_size") - F.ceil(F.col(f"{x}_size") * DICE_MIN - 1e-9) + 1
+    smaller_left = a.where(first("l")).join(b, [*on, "token"]).where("l_size <= r_size")
+    smaller_right = a.join(b.where(first("r")), [*on, "token"]).where("r_size < l_size")
+    candidates = smaller_left.unionByName(smaller_right).select(*on, "l_id", "r_id").distinct()
+    both = candidates.join(sides["l"], [*on, "l_id"]).join(sides["r"], [*on, "r_id"])
+    scored = both.withColumn("dice", dice("l_tokens", "r_tokens")).withColumn("simpson", simpson("l_tokens", "r_tokens"))
+    long_enough = F.least("l_chars", "r_chars") > SIMPSON_CHARS
     return scored.select(
-        *on, "left_id", "right_id", "dice", "simpson",
+        *on, F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "dice", "simpson",
         ((F.col("dice") >= DICE_MIN) | ((F.col("simpson") >= SIMPSON_MIN) & long_enough)).alias("is_match"),
         (F.col("dice") >= MINOR_EDIT).alias("is_minor"),
-    )
+    ).where("is_match")
 
 
 def greedy_alignment(matches: DataFrame, on: str) -> DataFrame:

@@ -9,10 +9,13 @@ judged documents.  A judged query without a relevant document scores 0 and is co
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, shuffle_width
+
 CUTS = (10, 100, 1000)
 #: aggregate name -> per-query name (fixed values)
 NAMES = {
@@ -21,6 +24,8 @@ NAMES = {
     "map": "AP",
 }
 DIGITS = 6
+#: Runs that one call scores side by side under the policy ``zero``.
+MOST_RUNS = 4096
 
 
 def last_wins(judgments: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -36,11 +41,24 @@ def drop_self_matches(run: DataFrame) -> DataFrame:
 
 
 def ranked(run: DataFrame, by: Sequence[str] = (), score: Column | None = None) -> DataFrame:
-    """Adds ``rank`` by (score, doc id as string), both descending; a repeated document keeps its best."""
+    """Adds ``rank`` by (score, doc id as string), both descending; a repeated document keeps its best.
+
+    Every rank is exact and no query meets in one task: rows are range-partitioned by (by, qid, score, doc
+    id), so that a query with a large share of all rows lies in many parts, ranked inside each part and
+    moved up by its rows in the parts before (a count per query and part)."""
+    keys = [*by, "qid"]
     score = F.col("score") if score is None else score
-    best = run.groupBy(*by, "qid", "doc_id").agg(F.max(score).alias("score"))
-    w = Window.partitionBy(*by, "qid").orderBy(F.col("score").desc(), F.col("doc_id").desc())
-    return best.withColumn("rank", F.row_number().over(w))
+    best = run.groupBy(*keys, "doc_id").agg(F.max(score).alias("score"))
+    order = [F.col("score").desc(), F.col("doc_id").desc()]
+    width = shuffle_width(run.sparkSession)
+    placed = materialize(best.repartitionByRange(width, *keys, *order).withColumn("part", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.withColumn("before", F.sum("n").over(earlier)).where("before is not null")
+    inside = placed.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)))
+    same = [inside[c].eqNullSafe(moved[c]) for c in (*keys, "part")]
+    both = inside.join(moved, reduce(Column.__and__, same), "left")
+    return both.select(*[inside[c] for c in keys], "doc_id", "score", (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("rank"))
 
 
 def per_query(run: DataFrame, judgments: DataFrame, by: Sequence[str] = (), policy: str = "zero", cells: DataFrame | None = None) -> DataFrame:
@@ -52,6 +70,7 @@ def per_query(run: DataFrame, judgments: DataFrame, by: Sequence[str] = (), poli
     if policy not in ("zero", "skip"):
         raise ValueError("policy is 'zero' or 'skip'")
     by = list(by)
+    judgments = materialize(judgments.select("qid", "doc_id", "rel"))  # used for the ideal lists and for the hits
     ideal_order = Window.partitionBy("qid").orderBy(F.col("rel").desc(), F.col("doc_id"))
     gain = lambda rank: F.col("rel") / F.log2(F.col(rank) + 1.0)
     judged = judgments.withColumn("place", F.row_number().over(ideal_order))
@@ -70,9 +89,9 @@ def per_query(run: DataFrame, judgments: DataFrame, by: Sequence[str] = (), poli
     if policy == "skip":
         universe = run.select(*by, "qid").distinct().join(ideal, "qid")
     elif by:
-        cells = run.select(*by).distinct() if cells is None else cells
-        # every run is scored on every judged query: a few runs beside the queries, in the plan a nested loop
-        universe = ideal.join(F.broadcast(cells))
+        # every run is scored on every judged query: the runs are few and listed in every row, no join
+        universe = ideal.withColumn("cell", F.explode(_few(run.select(*by).distinct() if cells is None else cells)))
+        universe = universe.select("cell.*", *ideal.columns)
     else:
         universe = ideal
     scored = universe.join(found, [*by, "qid"], "left")
@@ -86,6 +105,17 @@ def per_query(run: DataFrame, judgments: DataFrame, by: Sequence[str] = (), poli
     )
 
 
+def _few(cells: DataFrame, most: int = MOST_RUNS) -> Column:
+    """The rows of a table of at most ``most`` rows as an array of structs."""
+    rows = cells.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} runs at once; evaluate them in parts")
+    fields = cells.schema.fields
+    return F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]) if rows else F.array().cast(
+        f"array<{cells.schema.simpleString()}>"
+    )
+
+
 def mean_metrics(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Means over all rows of ``per_query`` and the number of queries."""
     return scores.groupBy(*by).agg(

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positives whose draws may come from one random stream on the driver.
+MOST_REPLAYED = 2_000_000
+
+
 def candidates(run: DataFrame, judgments: DataFrame, drop_self: bool) -> DataFrame:
     """(qid, doc_id, place): ranked documents, first occurrence kept, without positives and self matches."""
     first = run.groupBy("qid", "doc_id").agg(F.min("rank").alias("rank"))
@@ -32,8 +36,11 @@ def mine_hashed(run: DataFrame, judgments: DataFrame, drop_self: bool, seed: int
 def mine_replayed(run: DataFrame, judgments: DataFrame, drop_self: bool, seed: int = 13) -> DataFrame:
     """Like ``mine_hashed`` but with the draws of one ``random.Random(seed)`` over queries and positives
     in sorted order.  The stream is sequential by definition, so the list lengths (one small row per
-    judged query) come to the driver; queries without candidates draw nothing.  For judgment sets of
-    the usual size; use ``mine_hashed`` beyond."""
+    judged query) come to the driver; queries without candidates draw nothing.  A small mode: more than
+    ``MOST_REPLAYED`` positives raise, ``mine_hashed`` has no such bound."""
+    n = judgments.where("rel > 0").count()
+    if n > MOST_REPLAYED:
+        raise ValueError(f"{n} positives are too many for one random stream; use mine_hashed")
     pool = candidates(run, judgments, drop_self)
     lengths = (
         judgments.where("rel > 0").groupBy("qid").agg(F.sort_array(F.collect_set("doc_id")).alias("positives"))

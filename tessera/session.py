@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Sides below this many bytes may be broadcast after their size was checked.
-BROADCAST_LIMIT_BYTES = 64 << 20
-
-
 def build_session(app: str = "tessera", cpus: int | None = None, shuffle_partitions: int = 16) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     cpus = cpus or os.cpu_count() or 2
@@ -29,12 +28,15 @@ def build_session(app: str = "tessera", cpus: int | None = None, shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster.  Where none is configured, a temporary one, but only for a local
+    master: executors on other machines would not see it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -45,13 +47,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """A written table in the shared folder: cuts lineage, survives lost executors, keeps column pruning."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """A written table in the shared folder: cuts lineage, survives lost executors, keeps column pruning.
+
+    Tables stay as long as frames may read them; ``drop_tables`` removes them."""
+    path = f"{tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application; call it once their results are written."""
+    if spark.sparkContext.getCheckpointDir():
+        remove_folder(spark, tables_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes intermediate tables at the end of a block that writes its results inside it."""
+    try:
+        yield
+    finally:
+        drop_tables(spark)
+
+
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 

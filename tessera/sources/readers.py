@@ -37,14 +37,19 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of non-blank lines.
+    """(path, line_no, value) of non-blank lines; a large file is read in splits.
 
-    Line numbers need the order inside a file, so a file is read as one value and cut in its task;
-    run and judgment files are small, the corpus is never read this way.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("i", "value"))
-    return lines.where(F.trim("value") != "").select("path", (F.col("i") + 1).alias("line_no"), "value")
+    Lines keep their order inside a split and a split is read by one task, so a line's number is its distance
+    from the split's first line plus the lines of the splits before; only these counts, one row per
+    split, are aggregated.  Blank lines count."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    splits = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = lines.join(splits, ["path", "start"]).withColumn("line_no", F.col("at") - F.col("first") + F.col("before") + 1)
+    return numbered.where(F.trim("value") != "").select("path", "line_no", "value")
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +115,7 @@ def ranked_lists(spark: SparkSession, path: str) -> DataFrame:
             yield pdf[["path", "line_no"]].assign(qid=[r[0] for r in rows], ranked=[r[1] for r in rows], error=[r[2] for r in rows])
 
     parsed = numbered_lines(spark, path).mapInPandas(
-        run, "path string, line_no int, qid string, ranked array<string>, error string"
+        run, "path string, line_no bigint, qid string, ranked array<string>, error string"
     )
     again = F.row_number().over(Window.partitionBy("qid").orderBy("path", "line_no"))
     parsed = parsed.withColumn(
@@ -200,6 +205,20 @@ def epoch_metrics(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("line_no", "r.*")
 
 
+def first_stage_run(spark: SparkSession, root: str, key: str, task: str, lang: str, k: int | None = None) -> DataFrame:
+    """The first-stage run that a second stage starts from; says which file is missing if there is none."""
+    path = first_stage_path(root, key, task, lang)
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no first-stage run at {path}: search with {key} first")
+    run = scored_run(spark, path)
+    return run.where(F.col("rank") <= k) if k else run
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def first_stage_path(root: str, key: str, task: str, lang: str) -> str:
     """Where the first 100 of a first-stage run lie."""
     if key == "bm25":

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import remove_folder
+
 
 def run_lines(run: DataFrame, top_k: int | None = None) -> DataFrame:
     """(qid, value): one JSON line per query with its ``[[doc, score], …]``, best first.
@@ -30,9 +32,23 @@ def write_triples(path: str, triples: DataFrame) -> None:
     triples.select("qid", "positive_doc_id", "hard_negative_doc_id").write.mode("overwrite").json(path)
 
 
-def write_top(path: str, run: DataFrame, k: int = 100) -> None:
-    """The first k of every query, partitioned by split; the test split has a place of its own."""
-    run.where((F.col("rank") <= k) & (F.col("split") != "test")).write.mode("overwrite").partitionBy("split").parquet(path)
+def top_path(root: str, task: str, lang: str, model: str, split: str) -> str:
+    """Where the first documents of a dense run lie: training splits in folders of their own, test beside them."""
+    if split not in ("train", "validation", "test"):
+        raise ValueError(f"unknown split {split!r}")
+    return f"{root}/dense_top100/{'' if split == 'test' else split + '/'}{task}_{lang}_{model}.jsonl"
+
+
+def write_top(root: str, run: DataFrame, task: str, lang: str, model: str, k: int = 100) -> dict[str, str]:
+    """Writes the first ``k`` of every query of ``run`` (split, qid, doc_id, score, rank), one file per split.
+
+    Returns split -> path.  Rows without a split or of an unknown one raise: nothing is dropped."""
+    if not run.where("split is null or split not in ('train', 'validation', 'test')").isEmpty():
+        raise ValueError("a row of the run has no known split")
+    out = {r["split"]: top_path(root, task, lang, model, r["split"]) for r in run.select("split").distinct().collect()}  # at most three
+    for split, path in sorted(out.items()):
+        write_run(path, run.where(F.col("split") == split), k)
+    return out
 
 
 def write_index_corpus(path: str, corpus: DataFrame) -> None:
@@ -53,20 +69,48 @@ def content_path(root: str, name: str, df: DataFrame) -> str:
 
 
 def upsert_expansions(spark, path: str, new: DataFrame) -> None:
-    """Overlays existing records by query (new replaces old), sorted, through a staging folder and a rename."""
+    """Overlays existing records by query (new replaces old), sorted, through a staging folder.
+
+    A query that is new several times keeps one record, a non-empty answer before an empty one.  The old
+    folder is moved aside, the new one moved in, then the old one deleted: one of the two is always
+    there, and a leftover of a crash between the moves is moved back first."""
     from . import readers
 
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    merged = new.select("qid", "expansion", "error")
-    if fs.exists(target):
+    recover(spark, path)
+    record = F.struct((F.coalesce("expansion", F.lit("")) != "").alias("answered"), "expansion", "error")
+    merged = new.groupBy("qid").agg(F.max(record).alias("r")).select("qid", "r.expansion", "r.error")
+    if readers.exists(spark, path):
         merged = readers.expansions(spark, path).join(new.select("qid"), "qid", "left_anti").unionByName(merged)
-    staging = jvm.org.apache.hadoop.fs.Path(f"{path}.staging-{uuid.uuid4().hex}")
-    merged.orderBy("qid").write.json(staging.toString())
-    fs.delete(target, True)
-    if not fs.rename(staging, target):
-        raise OSError(f"could not move {staging} to {target}")
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    merged.orderBy("qid").write.json(staging)
+    swap_in(spark, staging, path)
+
+
+def _move(spark, source: str, target: str) -> None:
+    a, b = spark._jvm.org.apache.hadoop.fs.Path(source), spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def swap_in(spark, staging: str, path: str) -> None:
+    """Puts a written folder in the place of another."""
+    from .readers import exists
+
+    if exists(spark, path):
+        _move(spark, path, f"{path}.old")
+    _move(spark, staging, path)
+    remove_folder(spark, f"{path}.old")
+
+
+def recover(spark, path: str) -> None:
+    """Ends a swap that was interrupted: without a folder at ``path`` the old one moves back."""
+    from .readers import exists
+
+    if exists(spark, f"{path}.old"):
+        if exists(spark, path):
+            remove_folder(spark, f"{path}.old")
+        else:
+            _move(spark, f"{path}.old", path)
 
 
 def not_done(queries: DataFrame, existing: DataFrame) -> DataFrame:
