@@ -43,22 +43,21 @@ def drop_self_matches(run: DataFrame) -> DataFrame:
 def ranked(run: DataFrame, by: Sequence[str] = (), score: Column | None = None) -> DataFrame:
     """Adds ``rank`` by (score, doc id as string), both descending; a repeated document keeps its best.
 
-    Every rank is exact and no query meets in one task: rows are range-partitioned by (by, qid, score, doc
-    id), so that a query with a large share of all rows lies in many parts, ranked inside each part and
-    moved up by its rows in the parts before (a count per query and part)."""
+    Every rank is exact and no query meets in one task: rows are range-partitioned and sorted by (by, qid,
+    score, doc id) and numbered in that order.  A row's rank is its distance from the query's first row
+    in its part plus the query's rows in the parts before, from a table of one row per query and part."""
     keys = [*by, "qid"]
     score = F.col("score") if score is None else score
     best = run.groupBy(*keys, "doc_id").agg(F.max(score).alias("score"))
-    order = [F.col("score").desc(), F.col("doc_id").desc()]
-    width = shuffle_width(run.sparkSession)
-    placed = materialize(best.repartitionByRange(width, *keys, *order).withColumn("part", F.spark_partition_id()))
-    counts = placed.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    order = [*keys, F.col("score").desc(), F.col("doc_id").desc()]
+    sorted_rows = best.repartitionByRange(shuffle_width(run.sparkSession), *order).sortWithinPartitions(*order)
+    placed = materialize(sorted_rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    spans = placed.groupBy(*keys, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = counts.withColumn("before", F.sum("n").over(earlier)).where("before is not null")
-    inside = placed.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)))
-    same = [inside[c].eqNullSafe(moved[c]) for c in (*keys, "part")]
-    both = inside.join(moved, reduce(Column.__and__, same), "left")
-    return both.select(*[inside[c] for c in keys], "doc_id", "score", (F.col("place") + F.coalesce("before", F.lit(0))).cast("int").alias("rank"))
+    spans = spans.withColumn("shift", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1)
+    spans = spans.select(*[F.col(c).alias(f"span_{c}") for c in (*keys, "part")], "shift")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"span_{c}")) for c in (*keys, "part")])
+    return placed.join(spans, same).select(*keys, "doc_id", "score", (F.col("at") + F.col("shift")).cast("int").alias("rank"))
 
 
 def per_query(run: DataFrame, judgments: DataFrame, by: Sequence[str] = (), policy: str = "zero", cells: DataFrame | None = None) -> DataFrame:
@@ -70,7 +69,6 @@ def per_query(run: DataFrame, judgments: DataFrame, by: Sequence[str] = (), poli
     if policy not in ("zero", "skip"):
         raise ValueError("policy is 'zero' or 'skip'")
     by = list(by)
-    judgments = materialize(judgments.select("qid", "doc_id", "rel"))  # used for the ideal lists and for the hits
     ideal_order = Window.partitionBy("qid").orderBy(F.col("rel").desc(), F.col("doc_id"))
     gain = lambda rank: F.col("rel") / F.log2(F.col(rank) + 1.0)
     judged = judgments.withColumn("place", F.row_number().over(ideal_order))

@@ -95,3 +95,21 @@ def test_overlap_policy_and_means(spark):
     two = E.per_query(spark.createDataFrame([("a", "x", 1)], RUN), spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], QRELS))
     assert E.mean_metrics(two).first()["map"] == 0.5
     assert E.long_metrics(two).where(F.col("metric") == "AP").count() == 2
+
+
+def test_ranks_of_a_hot_query_are_exact(spark):
+    """One query holds nearly all of 100,000 rows, most of them ties: ranks are those of one sorted list."""
+    rows = spark.range(100_000).selectExpr("if(id % 50 = 0, concat('q', id % 7), 'hot') AS qid", "concat('d', id) AS doc_id", "double(id % 3) AS score")
+    got = E.ranked(rows)
+    hot = [r["doc_id"] for r in got.where("qid = 'hot'").orderBy("rank").collect()]
+    expected = sorted((f"d{i}" for i in range(100_000) if i % 50), key=lambda d: (int(d[1:]) % 3, d), reverse=True)
+    assert hot == expected
+    assert got.groupBy("qid").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("rank").alias("k")).where("lo <> 1 or hi <> n or k <> n").count() == 0
+
+
+def test_ranks_with_null_keys_and_no_rows(spark):
+    schema = "model string, qid string, doc_id string, score double, rank string"
+    df = spark.createDataFrame([(None, "q", "a", 1.0, "x"), (None, "q", "a", 2.0, "x"), (None, "q", "b", 1.5, "x"), ("m", None, "a", 1.0, "x")], schema)
+    got = {tuple(r) for r in E.ranked(df, ["model"]).select("model", "qid", "doc_id", "rank").collect()}
+    assert got == {(None, "q", "a", 1), (None, "q", "b", 2), ("m", None, "a", 1)}
+    assert E.ranked(df.where("false"), ["model"]).count() == 0

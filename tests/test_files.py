@@ -89,3 +89,63 @@ def test_paths_and_logs(spark, tmp_path):
     writers.append_log(str(tmp_path / "log"), a)
     writers.append_log(str(tmp_path / "log"), a)
     assert spark.read.json(str(tmp_path / "log")).count() == 6
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" if i % 7 else "\n" for i in range(1, 5001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path / "*.txt"))
+        assert lines.rdd.getNumPartitions() > 4
+        got = {(r["value"], r["line_no"]) for r in lines.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(f"{n}{i}", i) for n in "ab" for i in range(1, 5001) if i % 7}
+
+
+def test_upsert_keeps_one_record_and_recovers(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "exp"), "qid string, expansion string, error string, extra int"
+    writers.upsert_expansions(spark, path, spark.createDataFrame([("a", "", "timeout", 1), ("a", "x", None, 2), ("a", None, None, 3)], schema))
+    assert rows(readers.expansions(spark, path)) == [("a", "x", None)]
+    (tmp_path / "exp").rename(tmp_path / "exp.old")  # what a crash between the two moves leaves behind
+    writers.upsert_expansions(spark, path, spark.createDataFrame([("b", "y", None, 1)], schema))
+    assert rows(readers.expansions(spark, path)) == [("a", "x", None), ("b", "y", None)]
+    assert not (tmp_path / "exp.old").exists()
+
+
+def test_first_documents_per_split_and_first_stage(spark, rows, tmp_path):
+    run = spark.createDataFrame([(s, f"q-{s}", d, 3.0 - i, i + 1) for s in ("train", "test") for i, d in enumerate("abc")], "split string, qid string, doc_id string, score double, rank int")
+    root = str(tmp_path)
+    paths = writers.write_top(root, run, "rat2rev", "en", "m", 2)
+    assert paths == {"train": f"{root}/dense_top100/train/rat2rev_en_m.jsonl", "test": f"{root}/dense_top100/rat2rev_en_m.jsonl"}
+    assert rows(readers.first_stage_run(spark, root, "m", "rat2rev", "en"), "qid", "doc_id") == [("q-test", "a"), ("q-test", "b")]
+    assert readers.first_stage_run(spark, root, "m", "rat2rev", "en", 1).count() == 1
+    with pytest.raises(FileNotFoundError, match="bm25_top100"):
+        readers.first_stage_run(spark, root, "bm25", "rat2rev", "en")
+    with pytest.raises(ValueError, match="split"):
+        writers.write_top(root, run.selectExpr("cast(null as string) AS split", "qid", "doc_id", "score", "rank"), "rat2rev", "en", "m")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tessera import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_intermediate_tables_are_removed(spark):
+    from tessera import session
+
+    with session.intermediate_tables(spark):
+        table = session.materialize(spark.range(5))
+        assert table.count() == 5 and readers.exists(spark, session.tables_folder(spark))
+    assert not readers.exists(spark, session.tables_folder(spark))

@@ -253,6 +253,30 @@ def test_alignment(spark, rows):
     assert rows(matched, "left_id", "right_id") == [("l1", "r1"), ("l2", "r2")]
 
 
+def test_matching_pairs_against_brute_force(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.sample(words, 12) for _ in range(6)]
+    def vary(i):
+        t = list(base[i % 6])
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        return t[: rng.choice([2, 5, 12])] + ["every"]
+    schema = "act string, id string, tokens array<string>, n_chars int, dice string"
+    left = [(rng.choice("AB"), f"l{i}", vary(i), rng.choice([30, 60]), "") for i in range(60)] + [("A", "ln", None, 60, ""), (None, "lx", ["a"], 60, ""), ("A", "le", [], 60, "")]
+    right = [(rng.choice("AB"), f"r{i}", vary(i), rng.choice([30, 60]), "") for i in range(60)] + [("A", "re", [], 60, "")]
+    expected = set()
+    for a, i, x, n, _ in left:
+        for b, j, y, m, _ in right:
+            if a == b and x and y:
+                x_, y_ = set(x), set(y)
+                both = len(x_ & y_)
+                if 2 * both >= 0.7 * (len(x_) + len(y_)) - 1e-9 or (both >= 0.95 * min(len(x_), len(y_)) and min(n, m) > 40):
+                    expected.add((i, j))
+    got = construct.similarity_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["act"])
+    assert {(r["left_id"], r["right_id"]) for r in got.collect()} == expected and len(expected) > 50
+
+
 # ---- reranking ---------------------------------------------------------------------------------
 
 
