@@ -22,9 +22,10 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _M2
+        x = (x ^ (x >> np.uint64(27))) * _M3
+        return x ^ (x >> np.uint64(31))
 
 
 @dataclass(frozen=True)
@@ -73,71 +74,64 @@ class Shingler:
         return np.unique(h)
 
 
-#: Bits of the short sketch.
-SHORT = 128
+#: Parity bits of the short sketch; the other 16 bits of its two words hold the set's size.
+SHORT = 112
+#: Steps per doubling of the size code.
+SIZE_STEPS = 1024
+SIZE_SHIFT = 48
 
 
 @dataclass(frozen=True)
 class SketchPlan:
-    """Each of ``layouts`` layouts has ``samples`` minwise samples of its own, in disjoint bands of ``rows``
-    samples; those of the first layout are folded into one odd sketch of ``bits`` bits.
+    """``samples`` minwise samples in disjoint bands of ``rows``, all folded into one odd sketch of ``bits`` bits.
 
     A pair at similarity s shares a band with probability 1 - (1 - s**rows)**bands, for the default 96
     bands 0.9996 at s = 0.6, 0.99999 at 0.65 and more beyond.  Five rows keep what merely shares common
-    phrases apart: at s = 0.05 one pair in 30,000 shares a band, and of these the short sketch lets one in
-    eighty pass.  ``slack`` is how far the sketch's estimate may lie below
-    the threshold before a candidate is dropped without exact verification: more than five standard
-    deviations of the estimate.
+    phrases apart: at s = 0.05 one pair in 30,000 shares a band.  ``slack`` is how far the sketch's
+    estimate may lie below the threshold before a candidate is dropped without exact verification: five
+    standard deviations of the estimate.
     """
 
-    samples: int = 240
+    samples: int = 480
     rows: int = 5
-    layouts: int = 2
-    bits: int = 1024
-    slack: float = 0.2
+    bits: int = 2048
+    slack: float = 0.15
     seed: int = 7
 
     @property
     def bands(self) -> int:
-        return self.layouts * (self.samples // self.rows)
+        return self.samples // self.rows
 
 
 class Sketcher:
     def __init__(self, plan: SketchPlan):
         self.plan = plan
         rng = np.random.default_rng(plan.seed)
-        k = plan.samples * plan.layouts
-        self._a = rng.integers(1, 2**63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self._b = rng.integers(0, 2**63, size=k, dtype=np.uint64)
+        self._a = rng.integers(0, 2**31, size=(plan.samples, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self._b = rng.integers(0, 2**32, size=(plan.samples, 1), dtype=np.uint32)
         # no sample serves two bands, so that bands are independent
-        used = plan.samples - plan.samples % plan.rows
-        order = [i * plan.samples + np.arange(used) for i in range(plan.layouts)]
-        self._bands = np.concatenate(order).reshape(-1, plan.rows)
+        self._bands = np.arange(plan.bands * plan.rows).reshape(-1, plan.rows)
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
-        """(k, texts): the minwise samples of non-empty sets, one vectorised pass per hash function."""
-        flat = np.concatenate(sets)
-        starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-        out = np.empty((len(self._a), len(sets)), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(len(self._a)):
-                h = flat * self._a[i] + self._b[i]
-                h ^= h >> np.uint64(32)
-                h *= _M1
-                out[i] = np.minimum.reduceat(h, starts)
-        return out
+        """(samples, texts): the minwise samples of non-empty sets.
+
+        Shingles are mixed already, so the upper half of one, times an odd number, orders them at random;
+        blocks of 1,024 shingles stay in the cache."""
+        out = np.full((len(sets), self.plan.samples), np.uint32(0xFFFFFFFF))
+        for row, s in zip(out, sets):
+            short = (s >> np.uint64(32)).astype(np.uint32)
+            for at in range(0, len(short), 1024):
+                h = self._a * short[at : at + 1024]
+                h += self._b
+                np.minimum(row, h.min(axis=1), out=row)
+        return np.ascontiguousarray(out.T).astype(np.uint64)
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
         """(texts, bands): one 64-bit key per band, different bands never share a key space."""
-        p = self.plan
-        out = np.empty((minima.shape[1], p.bands), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for b, chosen in enumerate(self._bands):
-                h = np.full(minima.shape[1], b + 1, dtype=np.uint64)
-                for i in chosen:
-                    h = mix(h * _M1 + minima[i])
-                out[:, b] = h
-        return out
+        h = np.repeat(np.arange(1, self.plan.bands + 1, dtype=np.uint64)[:, None], minima.shape[1], axis=1)
+        for i in range(self.plan.rows):
+            h = mix(h * _M1 + minima[self._bands[:, i]])
+        return np.ascontiguousarray(h.T)
 
     def odd_sketches(self, minima: np.ndarray) -> np.ndarray:
         """(texts, bits / 64): parity bitmaps; every (position, minimum) toggles one bit."""
@@ -145,16 +139,20 @@ class Sketcher:
         texts = minima.shape[1]
         parity = np.zeros((texts, p.bits), dtype=np.uint8)
         rows = np.arange(texts)
-        with np.errstate(over="ignore"):
-            for i in range(p.samples):
-                bit = (mix(minima[i] + np.uint64(i + 1) * _M1) % np.uint64(p.bits)).astype(np.int64)
-                parity[rows, bit] ^= 1
+        places = np.arange(1, p.samples + 1, dtype=np.uint64) * _M1
+        for i in range(p.samples):
+            bit = (mix(minima[i] + places[i]) % np.uint64(p.bits)).astype(np.int64)
+            parity[rows, bit] ^= 1
         return np.packbits(parity, axis=1, bitorder="little").view(np.uint64)
 
-    def short_sketches(self, minima: np.ndarray) -> np.ndarray:
-        """(texts, 2): one parity bit of each of the first 128 samples, small enough to travel with postings."""
-        parity = (mix(minima[:SHORT]) & np.uint64(1)).astype(np.uint8).T
-        return np.packbits(np.ascontiguousarray(parity), axis=1, bitorder="little").view(np.uint64)
+    def short_sketches(self, minima: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(texts, 2): a parity bit of each of the first 112 samples and the size of the set on a logarithmic
+        scale, small enough to travel with postings."""
+        parity = np.zeros((minima.shape[1], 128), dtype=np.uint8)
+        parity[:, :SHORT] = (mix(minima[:SHORT] + _M1) & np.uint64(1)).astype(np.uint8).T
+        words = np.packbits(parity, axis=1, bitorder="little").view(np.uint64)
+        words[:, 1] |= np.floor(SIZE_STEPS * np.log2(sizes)).astype(np.uint64) << np.uint64(SIZE_SHIFT)
+        return words
 
     @staticmethod
     def most_short_bits(threshold: float) -> int:
@@ -163,6 +161,11 @@ class Sketcher:
         p = (1 - threshold) / 2
         return int(np.ceil(SHORT * p + 5 * np.sqrt(SHORT * p * (1 - p))))
 
+    @staticmethod
+    def most_size_steps(threshold: float) -> int:
+        """Difference of size codes beyond which the threshold is out of reach: sizes differ by 1 / s at most."""
+        return int(np.ceil(SIZE_STEPS * np.log2(1 / threshold))) + 1
+
     def most_differing_bits(self, threshold: float) -> int:
         """The XOR population count above which the estimated similarity is below threshold - slack.
 

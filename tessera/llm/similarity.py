@@ -2,12 +2,15 @@
 
 1.  Every text becomes a shingle set; equal sets of one space (table and language) are one *class*,
     so exact copies, however many, meet the join as a single row.
-2.  Classes get minwise samples, grouped in bands, and an odd sketch: samples folded into a
-    parity bitmap whose XOR population count estimates high similarities precisely.
-3.  Classes that share a band key are candidates; the odd sketches drop the clearly dissimilar ones;
-    the exact Jaccard similarity of the sets decides the rest.
-
-Nothing is capped: a bucket of any size is joined by its key (adaptive execution splits a hot one).
+2.  In the same pass a set gets minwise samples, grouped in bands, and an odd sketch: samples folded into a
+    parity bitmap whose XOR population count estimates high similarities precisely.  A task sketches a
+    set it has seen before only once; the sets themselves are neither stored nor shuffled.
+3.  Postings (band, class number, short sketch) are spread by band and made distinct there.  Classes that
+    share a band key are candidates unless their short sketches or their sizes rule them out; the odd
+    sketches drop the clearly dissimilar ones; for the few that are left the texts are shingled again
+    and the exact Jaccard similarity of the sets decides.
+
+Nothing is capped: a bucket of any size is joined by its key.
 A candidate is missed only by the banding itself, with the probability stated at ``SketchPlan``.
 
 Defined results for odd input: null texts, null languages, texts too short for one shingle and empty
@@ -22,130 +25,161 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, materialize
-from .shingles import SHORT, Shingler, ShingleRule, Sketcher, SketchPlan, mix
+from .shingles import SIZE_SHIFT, Shingler, ShingleRule, Sketcher, SketchPlan, mix
 
-#: Texts that are sketched together; bounds the memory of one vectorised pass.
+#: Shingles of the texts that are sketched together; bounds the memory of one pass.
 _SHINGLES_AT_ONCE = 400_000
 
 
+class _Sets:
+    """Shingle sets with their 128-bit class digests; sets of different spaces or languages never meet."""
+
+    def __init__(self, rule: ShingleRule):
+        self._shingler, self._salts = Shingler(rule), {}
+
+    def __call__(self, space: str, lang: str, text: str) -> tuple[bytes, np.ndarray] | None:
+        s = self._shingler(text, lang)
+        if not len(s):
+            return None
+        salt = self._salts.get((space, lang))
+        if salt is None:
+            salt = self._salts[space, lang] = np.uint64(xxhash.xxh3_64_intdigest(f"{space}\x1f{lang}".encode()))
+        s = np.sort(mix(s ^ salt))
+        return xxhash.xxh3_128_digest(s.tobytes()), s
+
+
+def _texts(records: DataFrame) -> DataFrame:
+    return records.where("rec is not null and space is not null and lang is not null and text is not null")
+
+
 def shingle_sets(records: DataFrame, rule: ShingleRule) -> DataFrame:
-    """(rec, space, lang, text) -> (rec, cls, shingles): sets and their 128-bit class digests."""
+    """(rec, space, lang, text) -> (rec, cls, shingles)."""
+    schema = pa.schema([("rec", pa.string()), ("cls", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rule)
-        schema = pa.schema([("rec", pa.string()), ("cls", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+        sets = _Sets(rule)
         for batch in batches:
-            recs, classes, sets, held = [], [], [], 0
+            rows = []
             for rec, space, lang, text in zip(*[c.to_pylist() for c in batch.columns]):
-                s = shingler(text, lang)
-                if not len(s):
-                    continue
-                # shingles of different spaces or languages never meet: not in a set, not in a band
-                s = np.sort(mix(s ^ np.uint64(xxhash.xxh3_64_intdigest(f"{space}\x1f{lang}".encode()))))
-                recs.append(rec)
-                classes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sets.append(s.view(np.int64))
-                held += len(s)
-                if held > _SHINGLES_AT_ONCE:
-                    yield _set_batch(recs, classes, sets, schema)
-                    recs, classes, sets, held = [], [], [], 0
-            if recs:
-                yield _set_batch(recs, classes, sets, schema)
-
-    clean = records.select("rec", "space", "lang", "text").where(
-        "rec is not null and space is not null and lang is not null and text is not null"
-    )
-    return clean.mapInArrow(run, "rec string, cls binary, shingles array<bigint>")
+                made = sets(space, lang, text)
+                if made:
+                    rows.append((rec, made[0], made[1].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
+    return _texts(records).select("rec", "space", "lang", "text").mapInArrow(run, "rec string, cls binary, shingles array<bigint>")
 
-def _set_batch(recs, classes, sets, schema) -> pa.RecordBatch:
-    offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-    return pa.RecordBatch.from_arrays([pa.array(recs), pa.array(classes, pa.binary()), lists], schema=schema)
 
+def sketched_texts(records: DataFrame, rule: ShingleRule, plan: SketchPlan) -> DataFrame:
+    """(rec, space, lang, text, tag) -> (rec, space, tag, cls, num, bands, sketch, short), one row per text.
 
-def sketch_classes(sets: DataFrame, plan: SketchPlan) -> DataFrame:
-    """(cls, shingles, ...) -> the same rows with ``bands``, ``sketch`` and ``short``."""
+    ``num`` is half of the class digest.  The three sketches are null where the task has sketched the class
+    with the same tag before, so copies cost a digest each."""
+    ints = pa.list_(pa.int64())
+    schema = pa.schema(
+        [("rec", pa.string()), ("space", pa.string()), ("tag", pa.string()), ("cls", pa.binary()), ("num", pa.int64()), ("bands", ints), ("sketch", ints), ("short", ints)]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(plan)
+        sets, sketcher = _Sets(rule), Sketcher(plan)
+        seen: set[tuple[bytes, str | None]] = set()
+        rows, fresh, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], schema[i].type) for i in range(4)]
+            columns.append(pa.array(np.array([int.from_bytes(r[3][:8], "little", signed=True) for r in rows], dtype=np.int64)))
+            if fresh:
+                minima = sketcher.minima(fresh)
+                sizes = np.array([len(s) for s in fresh])
+                at = np.full(len(rows), -1)
+                at[[i for i, r in enumerate(rows) if r[4]]] = np.arange(len(fresh))
+                for values in (sketcher.band_keys(minima), sketcher.odd_sketches(minima), sketcher.short_sketches(minima, sizes)):
+                    columns.append(_lists(np.ascontiguousarray(values).view(np.int64), at))
+            else:
+                columns += [pa.nulls(len(rows), ints)] * 3
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("shingles"))
-            offsets = lists.offsets.to_numpy()
-            at = 0
-            while at < batch.num_rows:
-                # as many texts as fit the bound, at least one
-                to = int(np.searchsorted(offsets, offsets[at] + _SHINGLES_AT_ONCE, side="right")) - 1
-                to = min(max(to, at + 1), batch.num_rows)
-                part = batch.slice(at, to - at)
-                flat = lists.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                local = offsets[at : to + 1] - offsets[at]
-                minima = sketcher.minima([flat[local[i] : local[i + 1]] for i in range(to - at)])
-                bands = sketcher.band_keys(minima).view(np.int64)
-                odd = np.ascontiguousarray(sketcher.odd_sketches(minima)).view(np.int64)
-                short = np.ascontiguousarray(sketcher.short_sketches(minima)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, _fixed_lists(bands), _fixed_lists(odd), _fixed_lists(short)],
-                    names=[*part.schema.names, "bands", "sketch", "short"],
-                )
-                at = to
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)
-    return sets.mapInArrow(run, f"{kept}, bands array<bigint>, sketch array<bigint>, short array<bigint>")
-
-
-def _fixed_lists(values: np.ndarray) -> pa.ListArray:
-    rows, width = values.shape
-    offsets = np.arange(0, rows * width + 1, width, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
-
-
-def band_candidates(left: DataFrame, right: DataFrame, keep: Column, threshold: float) -> DataFrame:
-    """(cls_a, cls_b): pairs that share a band and whose short sketches do not rule them out.
-
-    The short sketches travel with the postings, so what merely shares a band is dropped inside the
-    join and never shuffled as a pair."""
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select(
-            F.explode("bands").alias("band"),
-            F.col("cls").alias(f"cls_{x}"),
-            *[F.col("short")[i].alias(f"s{i}_{x}") for i in range(SHORT // 64)],
-        )
-
-    differing = sum(
-        (F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SHORT // 64)), F.lit(0)
+            for rec, space, lang, text, tag in zip(*[c.to_pylist() for c in batch.columns]):
+                made = sets(space, lang, text)
+                if not made:
+                    continue
+                new = (made[0], tag) not in seen
+                rows.append((rec, space, tag, made[0], new))
+                if new:
+                    seen.add((made[0], tag))
+                    fresh.append(made[1])
+                    held += len(made[1])
+                if held > _SHINGLES_AT_ONCE or len(rows) >= 20_000:
+                    yield flush()
+                    rows, fresh, held = [], [], 0
+        if rows:
+            yield flush()
+
+    kinds = "rec string, space string, tag string, cls binary, num bigint, bands array<bigint>, sketch array<bigint>, short array<bigint>"
+    return _texts(records).select("rec", "space", "lang", "text", "tag").mapInArrow(run, kinds)
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """Row ``at[i]`` of ``values`` as the i-th list, null where ``at`` is negative; rows come in order."""
+    there = at >= 0
+    ends = np.cumsum(np.where(there, values.shape[1], 0)).astype(np.int32)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.concatenate([~there, [False]]))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
+
+
+def band_candidates(sketched: DataFrame, threshold: float, train: str | None = None) -> DataFrame:
+    """(num_a, num_b): class numbers that share a band and are not ruled out by their short sketches and sizes.
+
+    Without ``train`` each pair once, otherwise ``num_a`` has rows with that tag and ``num_b`` rows with
+    another.  The short sketches travel with the postings, so what merely shares a band is dropped inside
+    the join and never shuffled as a pair.  Copies from different tasks meet here and become one."""
+    own = F.lit(True) if train is None else F.col("tag") == F.lit(train)
+    other = F.lit(True) if train is None else F.col("tag") != F.lit(train)
+    rows = sketched.where("bands is not null").select(
+        F.explode("bands").alias("band"), "num", F.col("short")[0].alias("s0"), F.col("short")[1].alias("s1"), own.alias("own"), other.alias("other")
     )
-    both = side(left, "a").join(side(right, "b"), "band").where(keep)
-    return both.where(differing <= Sketcher.most_short_bits(threshold)).select("cls_a", "cls_b").distinct()
+    posted = rows.repartition("band").groupBy("band", "num", "s0", "s1").agg(F.max("own").alias("own"), F.max("other").alias("other"))
 
+    def side(x: str, flag: str) -> DataFrame:
+        return posted.where(flag).select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("num", "s0", "s1")])
 
-def verified_pairs(candidates: DataFrame, classes: DataFrame, threshold: float, plan: SketchPlan) -> DataFrame:
-    """(cls_a, cls_b, similarity) of the candidates that reach the threshold exactly."""
-    most = Sketcher(plan).most_differing_bits(threshold)
-    words = plan.bits // 64
-    differing = sum(
-        (F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(words)), F.lit(0)
-    )
+    low = F.lit((1 << SIZE_SHIFT) - 1)
+    differing = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")).bitwiseAND(low))
+    size = lambda c: F.shiftrightunsigned(c, SIZE_SHIFT)
+    apart = F.abs(size("s1_a") - size("s1_b"))
+    keep = F.col("num_a") < F.col("num_b") if train is None else F.col("num_a") != F.col("num_b")
+    both = side("a", "own").join(side("b", "other"), "band").where(keep)
+    both = both.where((apart <= Sketcher.most_size_steps(threshold)) & (differing <= Sketcher.most_short_bits(threshold)))
+    return both.select("num_a", "num_b").distinct()
 
-    def side(x: str, column: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(f"cls_{x}"), F.col(column).alias(f"{column}_{x}"))
 
-    close = (
-        candidates.join(side("a", "sketch"), "cls_a")
-        .join(side("b", "sketch"), "cls_b")
-        .where(differing <= most)
-        .select("cls_a", "cls_b")
-    )
+def verified_pairs(candidates: DataFrame, sketched: DataFrame, records: DataFrame, threshold: float, rule: ShingleRule, plan: SketchPlan) -> DataFrame:
+    """(cls_a, cls_b, similarity) of the candidates that reach the threshold exactly."""
+    most = Sketcher(plan).most_differing_bits(threshold)
+    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    classes = sketched.where("sketch is not null").groupBy("num", "cls").agg(F.min(F.struct("rec", "sketch")).alias("r"))
+    classes = materialize(classes.select("num", "cls", "r.rec", "r.sketch"))
+
+    def side(x: str) -> DataFrame:
+        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "sketch")])
+
+    near = candidates.join(side("a"), "num_a").join(side("b"), "num_b").where((differing <= most) & (F.col("cls_a") != F.col("cls_b")))
+    close = materialize(near.select("cls_a", "cls_b"))
+    needed = close.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    chosen = materialize(classes.join(needed, "cls", "left_semi").select("rec", "cls"))
+    again = records.join(chosen.select("rec").distinct(), "rec", "left_semi")
+    # a record may have several texts, of which one is the class's
+    sets = shingle_sets(again, rule).join(chosen, ["rec", "cls"], "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets)
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     either = F.size("shingles_a") + F.size("shingles_b") - common
     return (
-        close.join(side("a", "shingles"), "cls_a")
-        .join(side("b", "shingles"), "cls_b")
+        close.join(sets.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("shingles_a")), "cls_a")
+        .join(sets.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("shingles_b")), "cls_b")
         .select("cls_a", "cls_b", (common / either).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
@@ -154,17 +188,16 @@ def verified_pairs(candidates: DataFrame, classes: DataFrame, threshold: float,
 def near_duplicates(
     records: DataFrame, threshold: float = 0.8, rule: ShingleRule = ShingleRule(), plan: SketchPlan = SketchPlan()
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members`` (rec, cls) is every record's class, ``links`` (cls_a < cls_b,
-    similarity) every pair of different classes that reach the threshold.
+    """(members, links): ``members`` (rec, cls) is every record's class, ``links`` (cls_a, cls_b,
+    similarity) every pair of different classes that reach the threshold, once.
 
     ``records`` has ``rec``, ``space``, ``lang`` and ``text``; only texts of one space and language
     are compared.
     """
-    sets = materialize(shingle_sets(records, rule))
-    classes = materialize(sketch_classes(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), plan))
-    candidates = band_candidates(classes, classes, F.col("cls_a") < F.col("cls_b"), threshold)
-    links = cut_lineage(verified_pairs(candidates, classes, threshold, plan))
-    return sets.select("rec", "cls").distinct(), links
+    texts = records.select("rec", "space", "lang", "text", F.lit(None).cast("string").alias("tag"))
+    sketched = materialize(sketched_texts(texts, rule, plan))
+    links = cut_lineage(verified_pairs(band_candidates(sketched, threshold), sketched, texts, threshold, rule, plan))
+    return sketched.select("rec", "cls").distinct(), links
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -184,7 +217,7 @@ def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def connected_groups(members: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(rec, group_id, n_links): one row per record that has a partner.
 
     ``group_id`` is the smallest record id of the connected component, ``n_links`` the number of
@@ -197,7 +230,8 @@ def connected_groups(members: DataFrame, links: DataFrame, max_rounds: int = 40)
     mesh = links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v"))
     edges = cut_lineage(ties.unionByName(mesh).distinct())
     seen = None
-    for _ in range(max_rounds):
+    # the steps settle after a number of rounds that grows with the square of the logarithm of the edges
+    for _ in range(16 + edges.count().bit_length() ** 2):
         edges = cut_lineage(_small_star(_large_star(edges)))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
@@ -249,32 +283,20 @@ def cross_split_pairs(
     training nor evaluation.  Only classes with training rows are probed by classes with evaluation
     rows, so pairs within one side are never formed.
     """
-    tagged = records.where("split is not null and space is not null and rec is not null").select(
-        F.to_json(F.struct("rec", "split", "space")).alias("rec"), "space", "lang", "text"
-    )
-    sets = materialize(shingle_sets(tagged, rule))
-    info = F.from_json("rec", "rec string, split string, space string")
-    members = sets.select("cls", info.alias("i")).select("cls", "i.rec", "i.split", "i.space").distinct()
-    is_train = F.get_json_object("rec", "$.split") == F.lit(train)
-    classes = sets.groupBy("cls").agg(
-        F.first("shingles").alias("shingles"),
-        F.bool_or(is_train).alias("in_train"),
-        F.bool_or(~is_train).alias("in_eval"),
-    )
-    classes = materialize(sketch_classes(classes, plan))
-    candidates = band_candidates(
-        classes.where("in_train"), classes.where("in_eval"), F.col("cls_a") != F.col("cls_b"), threshold
-    )
-    same = classes.where("in_train and in_eval").select(
-        F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("similarity")
-    )
-    links = verified_pairs(candidates, classes, threshold, plan).unionByName(same)
-    a = members.where(F.col("split") == train).select(F.col("cls").alias("cls_a"), F.col("rec").alias("rec_train"))
-    b = members.where(F.col("split") != train).select(
-        F.col("cls").alias("cls_b"), F.col("rec").alias("rec_eval"), "split", "space"
+    keyed = records.where("split is not null and space is not null and rec is not null").select(
+        # ids are unique within a table only
+        F.to_json(F.struct("space", "rec")).alias("rec"), F.col("rec").alias("id"), "space", "lang", "text", F.col("split").alias("tag")
     )
+    sketched = materialize(sketched_texts(keyed, rule, plan))
+    links = verified_pairs(band_candidates(sketched, threshold, train), sketched, keyed, threshold, rule, plan)
+    ends = sketched.select("cls", F.get_json_object("rec", "$.rec").alias("rec"), "space", F.col("tag").alias("split")).distinct()
+    a = ends.where(F.col("split") == train).select(F.col("cls").alias("cls_a"), F.col("rec").alias("rec_train"))
+    b = ends.where(F.col("split") != train).select(F.col("cls").alias("cls_b"), F.col("rec").alias("rec_eval"), "split", "space")
+    shared = ends.groupBy("cls").agg(F.bool_or(F.col("split") == train).alias("t"), F.bool_or(F.col("split") != train).alias("e")).where("t and e")
+    same = shared.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("similarity"))
     return (
-        links.join(a, "cls_a")
+        links.unionByName(same)
+        .join(a, "cls_a")
         .join(b, "cls_b")
         .groupBy("space", "split", "rec_train", "rec_eval")
         .agg(F.max("similarity").alias("similarity"))
