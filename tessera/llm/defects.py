@@ -3,8 +3,8 @@
 Each response gets at most one defect, tested in this order:
 
 ``empty``           nothing but blanks, invisible characters, markup, labels or placeholders;
-``refusal``         its sentences align with refusal templates and nothing else is left;
-``other_language``  most of its letters or function words belong to another language than the prompt's;
+``refusal``         its sentences align with refusal templates (``refusals``) and nothing else is left;
+``other_language``  its script, function words or character n-grams (``languages``) are not those of the prompt's language;
 ``copy``            prompt and response are aligned by shingle containment and by the longest common
                     subsequence of tokens: nothing of its own remains;
 ``truncated``       a passage without a sentence end, or a keyword list that stops inside an entry.
@@ -23,12 +23,15 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .languages import Profile, language_of, learn_profiles
+from .refusals import refuses
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -47,22 +50,7 @@ OPENINGS = re.compile(
     re.I,
 )
 
-# Refusal templates, aligned sentence by sentence.
-REFUSAL_EN = re.compile(
-    r"\b(?:i|we)(?:\s+am|\s+are|['’]m|['’]re)?\s+(?:(?:really |very )?sorry|unable|not (?:able|permitted|allowed|in a position|comfortable))\b"
-    r"|\b(?:i|we)\s+(?:can(?:not|['’]t|\s+not)|could(?: not|n['’]t)|will not|won['’]t|would rather not|do not feel|don['’]t feel|(?:must|have to|need to)\s+(?:respectfully )?(?:decline|refuse))\b"
-    r"|\bnot something (?:i|we) (?:will|can|am|are)\b|\b(?:outside|beyond) what (?:i|we) (?:am|are|can)\b"
-    r"|\bi apologi[sz]e\b|\bas an? (?:ai|language model)\b|\bagainst (?:my|our) (?:guidelines|policy)\b"
-    r"|\b(?:i|we)\s+(?:decline|refuse)\b|\bnot (?:possible|appropriate|permitted|allowed) for (?:me|us) to\b"
-    r"|\b(?:guidelines?|polic(?:y|ies)|rules|instructions) (?:prevents?|forbids?|prohibits?|do(?:es)? not (?:allow|permit)) (?:me|us)\b"
-    r"|\bnot enough (?:context|information)\b[^.]{0,40}\bfor (?:me|us) to\b",
-    re.I,
-)
-REFUSAL_JA = re.compile(
-    r"お答え(?:でき|し(?:かね|ません)|いたしかね)|致しかね|いたしかね|(?:回答|お答え|生成|作成|提供)を?(?:差し控え|控え|お断り|遠慮)|お断り(?:し|いたし|させ)"
-    r"|お手伝いできません|お手伝いすることはできません|(?:作成|生成|提供|回答)(?:する)?ことは?できません|(?:作成|生成|提供|回答)(?:いた)?できません"
-    r"|認められておりません|許可されておりません|対応(?:でき|いたし?かね|しかね|して(?:おり|い)ません)|(?:作成|生成|提供|回答)を?見送|見送らせて|(?:に|は)(?:応じ(?:かね|られません)(?:ます)?。?$)|ご期待に(?:沿|添)えません"
-)
+# Courtesy.
 #: Sentences that may stand beside a refusal without being an answer.
 BESIDE_EN = re.compile(
     r"^(?:thank you|thanks|sorry|unfortunately|i apologi[sz]e|please (?:consult|contact|ask|try|seek|rephrase)|is there (?:something|anything)|"
@@ -73,18 +61,6 @@ BESIDE_JA = re.compile(
     r"^(?:ご質問|申し訳|残念ながら|恐れ入り|すみません|ご了承|専門家に|別のご|ご理解|AI|恐縮|お問い合わせ|弁護士|ご不便|何か)"
 )
 
-# Frequent function words.
-FUNCTION_WORDS = {
-    "en": frozenset("the of and to in a an is are be by for with that on shall may which from as at or it this where kept".split()),
-    "fr": frozenset("le la les des du de et est une un dans par pour sur au aux que qui ne pas en ou à l d".split()),
-    "de": frozenset("der die das und ist den dem des ein eine nicht mit von zu werden wird für auf im oder wie ob zur".split()),
-    "es": frozenset("el la los las del de y es una un en por para con que se al o no".split()),
-    "it": frozenset("il lo gli della delle del di e è una un in per con che si al o non dei nel".split()),
-    "pt": frozenset("o os as da das do dos de e é uma um em por para com que se ao ou não na no".split()),
-    "nl": frozenset("de het een en van is in op te voor met dat die niet aan door of worden".split()),
-}
-CHINESE_ONLY = re.compile("[这们对应为时会来说实还没过样与须经该规请给让从动产业务机关办]")
-
 _LINE = re.compile(r"[\r\n]+")
 _MARKER = re.compile(r"^\s*(?:[-*•・○◦‣]|[(（]?(?:\d{1,3}|[０-９]{1,3}|[a-z])[.)．）、:：]|\d{1,3}\s*　)\s*")
 _SENTENCE_END = re.compile(r"[.!?。！？｡．](?:[\"'”’」』）)\]*_`]|\s)*$")
@@ -95,11 +71,13 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+")
 _INVISIBLE = re.compile("[" + "".join(chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Cf") + "]")
 
 
+@lru_cache(maxsize=4)
 def visible(text: str) -> str:
     """The text without format characters."""
     return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
+@lru_cache(maxsize=4)
 def strip_noise(text: str) -> str:
     """The text without invisible characters, markup at the ends and courtesy openings."""
     text = visible(text).strip(" \t\r\n\v\f 　`*_#<>|~")
@@ -121,53 +99,36 @@ def is_empty(text: str | None) -> bool:
     return bare in PLACEHOLDERS or LABELS.sub("", bare + ":") == ""
 
 
-def is_refusal(text: str) -> bool:
-    """Every sentence is a refusal or stands beside one, and at least one refuses."""
-    core = strip_noise(text)
-    sentences = [s.strip() for s in _SENTENCE.split(core) if s and s.strip()]
-    if not sentences:
-        return False
-    refusing = [bool(REFUSAL_EN.search(s) or REFUSAL_JA.search(s)) for s in sentences]
-    if not any(refusing):
-        return False
-    beside = [r or bool(BESIDE_EN.search(s) or BESIDE_JA.search(s)) for r, s in zip(refusing, sentences)]
-    own = sum(len(s) for s, b in zip(sentences, beside) if not b)
-    return own <= 0.25 * len(core)
-
+#: Share of the letters that may stand beside a refusal without being one or a courtesy.
+MOST_OWN = 0.25
 
-_HANGUL = re.compile(r"[\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\uac00-\ud7ff]")
-#: Letters between the Latin blocks and the CJK ones: Greek, Cyrillic, Arabic, Thai and the rest.
-_OTHER_SCRIPT = re.compile(r"[\u0370-\u10ff\u1200-\u1cff\u1f00-\u1fff\u2c00-\u2c5f\u2c80-\u2dff]")
 
-
-def language_of(text: str) -> str | None:
-    """``ja``, ``zh``, ``ko``, ``other`` (any other script than Latin), a language of ``FUNCTION_WORDS`` or None
-    when the text gives no evidence."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
-        return None
-    if sum(1 for c in letters if _HANGUL.match(c)) > 0.5 * len(letters):
-        return "ko"
-    if sum(1 for c in letters if _OTHER_SCRIPT.match(c)) > 0.5 * len(letters):
-        return "other"
-    cjk = sum(1 for c in letters if ord(c) > 0x2E7F)
-    if cjk > 0.5 * len(letters):
-        kana = sum(1 for c in letters if 0x3041 <= ord(c) <= 0x30FF)
-        return "zh" if not kana and len(CHINESE_ONLY.findall(text)) >= 2 else "ja"
-    words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
-    total = sum(words.values())
-    score = {lang: sum(words[w] for w in fw) for lang, fw in FUNCTION_WORDS.items()}
-    best = max(score, key=lambda k: (score[k], k == "en"))
-    if best != "en" and score[best] >= max(2, 1.5 * score["en"]) and score[best] >= 0.12 * total:
-        return best
-    return "en"
-
-
-def is_other_language(text: str, lang: str | None) -> bool:
+def is_refusal(text: str) -> bool:
+    """Every sentence aligns with a refusal template or stands beside one, and at least one refuses."""
+    core = strip_noise(text)
+    own, refusing = 0, False
+    for s in _SENTENCE.split(core):
+        s = s.strip() if s else ""
+        if not s:
+            continue
+        if refuses(s):
+            refusing = True
+        elif not (BESIDE_EN.search(s) or BESIDE_JA.search(s)):
+            own += len(s)
+            if own > MOST_OWN * len(core):
+                return False  # whatever follows
+    return refusing
+
+
+def is_other_language(text: str, lang: str | None, profiles: dict[str, Profile] | None = None) -> bool:
     if lang not in ("en", "ja"):
         return False
-    found = language_of(strip_noise(text))
-    return found is not None and found != lang
+    core = strip_noise(text)
+    found = language_of(core)
+    if found is not None and found != lang:
+        return True
+    profile = (profiles or {}).get(lang)
+    return found is not None and profile is not None and profile.foreign(core)
 
 
 def _tokens(text: str, lang: str | None) -> list[str]:
@@ -190,14 +151,49 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 def longest_stretch(a: list[str], b: list[str]) -> int:
     """Length of the longest contiguous run of tokens that both have."""
-    best, before = 0, {}
-    where: dict[str, list[int]] = {}
-    for j, t in enumerate(b):
-        where.setdefault(t, []).append(j)
-    for t in a:
-        now = {j: before.get(j - 1, 0) + 1 for j in where.get(t, ())}
-        best = max(best, max(now.values(), default=0))
-        before = now
+    return longest_common(a, b)[0]
+
+
+def longest_common(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(length, start in a, start in b) of the longest contiguous run both have, by a suffix automaton of ``b``."""
+    link, length, step, end = [-1], [0], [{}], [0]
+    last = 0
+    for i, t in enumerate(b, 1):
+        now = len(link)
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(i)
+        step.append({})
+        p = last
+        while p >= 0 and t not in step[p]:
+            step[p][t] = now
+            p = link[p]
+        if p >= 0:
+            q = step[p][t]
+            if length[q] == length[p] + 1:
+                link[now] = q
+            else:
+                twin = len(link)
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                step.append(dict(step[q]))
+                while p >= 0 and step[p].get(t) == q:
+                    step[p][t] = twin
+                    p = link[p]
+                link[q] = link[now] = twin
+        last = now
+    state = run = 0
+    best = (0, 0, 0)
+    for i, t in enumerate(a, 1):
+        while state and t not in step[state]:
+            state = link[state]
+            run = length[state]
+        if t in step[state]:
+            state = step[state][t]
+            run += 1
+        if run > best[0]:
+            best = (run, i - run, end[state] - run)
     return best
 
 
@@ -205,8 +201,12 @@ def containment(a: list[str], b: list[str], n: int) -> float:
     """Share of a's n-shingles (with repetition) that occur in b; 0 when a is shorter than n."""
     if len(a) < n:
         return 0.0
-    known = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
-    return sum(tuple(a[i : i + n]) in known for i in range(len(a) - n + 1)) / (len(a) - n + 1)
+    known = set(zip(*(b[i:] for i in range(n))))
+    return sum(map(known.__contains__, zip(*(a[i:] for i in range(n))))) / (len(a) - n + 1)
+
+
+#: Share of a copy's tokens that the alignment with the prompt must hold.
+LEAST_ALIGNED = 0.93
 
 
 def is_copy(prompt: str | None, text: str, lang: str | None, most: float = 0.8) -> bool:
@@ -216,16 +216,28 @@ def is_copy(prompt: str | None, text: str, lang: str | None, most: float = 0.8)
     a, b = _tokens(strip_noise(text), lang), _tokens(prompt, lang)
     n = 8 if lang == "ja" else 4
     if len(a) < n:
-        return len(a) > 0 and len(a) == len(b) and a == b
-    share = containment(a, b, n)
-    if share >= most:
-        # entries of a keyword list may each stand in the prompt: there one stretch must make up most of it
-        return list_entries(text) is None or longest_stretch(a, b) >= 0.5 * len(a)
-    if share < 0.3:
+        # too short for a shingle: the prompt itself, or, if it is no entry of keywords, a stretch of it
+        return a == b or (len(a) > 1 and _SENTENCE_END.search(text.strip()) is not None and longest_stretch(a, b) == len(a))
+    # tokens that the prompt has at all bound both measures
+    shared = sum(map(set(b).__contains__, a))
+    if shared < min(most * (len(a) - n + 1), LEAST_ALIGNED * len(a)):
+        return False
+    # entries of a keyword list may each stand in the prompt: there one stretch must make up most of it
+    is_list = list_entries(text) is not None
+    if containment(a, b, n) >= most:
+        return not is_list or longest_stretch(a, b) >= 0.5 * len(a)
+    # no subsequence is longer than what the two have in common in any order
+    if (Counter(a) & Counter(b)).total() < LEAST_ALIGNED * len(a):
         return False
-    return lcs_length(a, b) >= 0.93 * len(a)
+    # aligned where the two agree best: tokens found here and there in a long prompt are no copy
+    length, i, j = longest_common(a, b)
+    if length < (0.5 * len(a) if is_list else 1):
+        return False
+    slack = n + len(a) // 4
+    return lcs_length(a, b[max(0, j - i - slack) : j - i + len(a) + slack]) >= LEAST_ALIGNED * len(a)
 
 
+@lru_cache(maxsize=4)
 def list_entries(text: str) -> list[str] | None:
     """The entries of a keyword list, None for a passage."""
     core = visible(text).strip()
@@ -271,13 +283,13 @@ def breaks_off(text: str) -> bool | None:
     return None
 
 
-def judge(prompt: str | None, text: str | None, lang: str | None) -> tuple[str | None, list[str], list[str]]:
+def judge(prompt: str | None, text: str | None, lang: str | None, profiles: dict[str, Profile] | None = None) -> tuple[str | None, list[str], list[str]]:
     """(defect or None, endings of a list's last entry that must be looked up, endings of its other entries)."""
     if is_empty(text):
         return "empty", [], []
     if is_refusal(text):
         return "refusal", [], []
-    if is_other_language(text, lang):
+    if is_other_language(text, lang, profiles):
         return "other_language", [], []
     if is_copy(prompt, text, lang):
         return "copy", [], []
@@ -296,10 +308,13 @@ def defective_answers(answers: DataFrame, prompts: DataFrame, least: int = 2) ->
     entries of the same language to count as complete.
     """
 
+    # two tables of fixed size, learned from all prompts
+    profiles = prompts.sparkSession.sparkContext.broadcast(learn_profiles(prompts))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                judge(_text(p), _text(t), _text(g)) for p, t, g in zip(batch["text"], batch["expansion"], batch["lang"])
+                judge(_text(p), _text(t), _text(g), profiles.value) for p, t, g in zip(batch["text"], batch["expansion"], batch["lang"])
             ]
             yield pd.DataFrame(
                 {
