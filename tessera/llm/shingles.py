@@ -19,13 +19,14 @@ TOKEN = re.compile(r"[^\W_]+")
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+_S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M2
-        x = (x ^ (x >> np.uint64(27))) * _M3
-        return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> _S30)) * _M2
+    x = (x ^ (x >> _S27)) * _M3
+    return x ^ (x >> _S31)
 
 
 @dataclass(frozen=True)
@@ -37,25 +38,28 @@ class ShingleRule:
     char_langs: tuple[str, ...] = ("ja",)
 
 
+class _TokenHashes(dict):
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Shingler:
-    """Turns texts into shingle sets; holds a bounded cache of token hashes."""
+    """Turns texts into sorted shingle sets; holds a bounded cache of token hashes.
+
+    A shingle is the mix of a sum of its units, each times the odd multiplier of its place."""
 
     def __init__(self, rule: ShingleRule, cache: int = 200_000):
-        self.rule, self.cache, self._known = rule, cache, {}
+        self.rule, self.cache, self._known = rule, cache, _TokenHashes()
+        self._places = np.random.default_rng(11).integers(0, 2**63, size=max(rule.word_n, rule.char_n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def _token_hashes(self, tokens: list[str]) -> np.ndarray:
-        known = self._known
-        if len(known) > self.cache:
-            known.clear()
-        out = np.empty(len(tokens), dtype=np.uint64)
-        for i, t in enumerate(tokens):
-            h = known.get(t)
-            if h is None:
-                h = known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-            out[i] = h
-        return out
-
-    def __call__(self, text: str, lang: str | None) -> np.ndarray:
+        if len(self._known) > self.cache:
+            self._known.clear()
+        return np.fromiter(map(self._known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+    def __call__(self, text: str, lang: str | None, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+        """``salt`` keeps sets of different kinds apart: with another salt no shingle is the same."""
         tokens = TOKEN.findall(text.lower())
         if lang in self.rule.char_langs:
             n = self.rule.char_n
@@ -64,14 +68,15 @@ class Shingler:
         else:
             n = self.rule.word_n
             units = self._token_hashes(tokens)
-        if len(units) < n:
-            return np.empty(0, dtype=np.uint64)
         count = len(units) - n + 1
-        with np.errstate(over="ignore"):
-            h = np.zeros(count, dtype=np.uint64)
-            for i in range(n):
-                h = mix(h * _M1 + units[i : i + count] + np.uint64(i + 1))
-        return np.unique(h)
+        if count < 1:
+            return np.empty(0, dtype=np.uint64)
+        h = np.full(count, salt, dtype=np.uint64)
+        for i in range(n):
+            h += units[i : i + count] * self._places[i]
+        h = mix(h)
+        h.sort()
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 #: Parity bits of the short sketch; the other 16 bits of its two words hold the set's size.
@@ -94,8 +99,8 @@ class SketchPlan:
 
     samples: int = 480
     rows: int = 5
-    bits: int = 2048
-    slack: float = 0.15
+    bits: int = 1024
+    slack: float = 0.17
     seed: int = 7
 
     @property

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, materialize
-from .shingles import SIZE_SHIFT, Shingler, ShingleRule, Sketcher, SketchPlan, mix
+from .shingles import SIZE_SHIFT, Shingler, ShingleRule, Sketcher, SketchPlan
 
 #: Shingles of the texts that are sketched together; bounds the memory of one pass.
 _SHINGLES_AT_ONCE = 400_000
@@ -42,14 +42,11 @@ class _Sets:
         self._shingler, self._salts = Shingler(rule), {}
 
     def __call__(self, space: str, lang: str, text: str) -> tuple[bytes, np.ndarray] | None:
-        s = self._shingler(text, lang)
-        if not len(s):
-            return None
         salt = self._salts.get((space, lang))
         if salt is None:
             salt = self._salts[space, lang] = np.uint64(xxhash.xxh3_64_intdigest(f"{space}\x1f{lang}".encode()))
-        s = np.sort(mix(s ^ salt))
-        return xxhash.xxh3_128_digest(s.tobytes()), s
+        s = self._shingler(text, lang, salt)
+        return (xxhash.xxh3_128_digest(s.tobytes()), s) if len(s) else None
 
 
 def _texts(records: DataFrame) -> DataFrame:
@@ -158,16 +155,22 @@ def band_candidates(sketched: DataFrame, threshold: float, train: str | None = N
 
 
 def verified_pairs(candidates: DataFrame, sketched: DataFrame, records: DataFrame, threshold: float, rule: ShingleRule, plan: SketchPlan) -> DataFrame:
-    """(cls_a, cls_b, similarity) of the candidates that reach the threshold exactly."""
+    """(cls_a, cls_b, similarity) of the candidates that reach the threshold exactly.
+
+    A pair of classes that both belong to one and the same record only is left out."""
     most = Sketcher(plan).most_differing_bits(threshold)
     differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    classes = sketched.where("sketch is not null").groupBy("num", "cls").agg(F.min(F.struct("rec", "sketch")).alias("r"))
-    classes = materialize(classes.select("num", "cls", "r.rec", "r.sketch"))
+    # the only record a class belongs to, null if there are several: two classes of one record are no pair of records
+    alone = F.when(F.min("rec") == F.max("rec"), F.min("rec"))
+    first = F.min(F.when(F.col("sketch").isNotNull(), F.struct("rec", "sketch")))
+    classes = sketched.groupBy("num", "cls").agg(alone.alias("owner"), first.alias("r"))
+    classes = materialize(classes.select("num", "cls", "owner", "r.rec", "r.sketch"))
 
     def side(x: str) -> DataFrame:
-        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "sketch")])
+        return classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "owner", "sketch")])
 
-    near = candidates.join(side("a"), "num_a").join(side("b"), "num_b").where((differing <= most) & (F.col("cls_a") != F.col("cls_b")))
+    differ = F.col("owner_a").isNull() | F.col("owner_b").isNull() | (F.col("owner_a") != F.col("owner_b"))
+    near = candidates.join(side("a"), "num_a").join(side("b"), "num_b").where((differing <= most) & (F.col("cls_a") != F.col("cls_b")) & differ)
     close = materialize(near.select("cls_a", "cls_b"))
     needed = close.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     chosen = materialize(classes.join(needed, "cls", "left_semi").select("rec", "cls"))
@@ -189,7 +192,8 @@ def near_duplicates(
     records: DataFrame, threshold: float = 0.8, rule: ShingleRule = ShingleRule(), plan: SketchPlan = SketchPlan()
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members`` (rec, cls) is every record's class, ``links`` (cls_a, cls_b,
-    similarity) every pair of different classes that reach the threshold, once.
+    similarity) every pair of different classes that reach the threshold, once, but for two texts that
+    only one record has.
 
     ``records`` has ``rec``, ``space``, ``lang`` and ``text``; only texts of one space and language
     are compared.
