@@ -150,13 +150,21 @@ def visual_keys(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def identical_looking_pairs(keys: DataFrame) -> DataFrame:
     """(rec_a, rec_b): records whose strings differ but whose consistent forms agree.
 
-    Exact copies are classes of one raw digest; only forms with two or more classes reach the join,
-    and the join is between classes' members, never within a class.
+    Exact copies are classes of one raw digest; classes of one form are joined with each other, never a
+    class with itself, and members are attached to the class pairs found.
     """
-    mixed = (
-        keys.groupBy("canon").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("canon")
-    )
-    members = keys.join(mixed, "canon", "left_semi")
-    a = members.select("canon", F.col("raw").alias("raw_a"), F.col("rec").alias("rec_a"))
-    b = members.select("canon", F.col("raw").alias("raw_b"), F.col("rec").alias("rec_b"))
-    return a.join(b, "canon").where("rec_a < rec_b and raw_a <> raw_b").select("rec_a", "rec_b").distinct()
+    classes = keys.select("canon", "raw").distinct()
+    a, b = classes.withColumnRenamed("raw", "raw_a"), classes.withColumnRenamed("raw", "raw_b")
+    links = a.join(b, "canon").where("raw_a < raw_b").select("raw_a", "raw_b")
+    members = keys.select("raw", "rec").distinct()
+    left = members.select(F.col("raw").alias("raw_a"), F.col("rec").alias("x"))
+    right = members.select(F.col("raw").alias("raw_b"), F.col("rec").alias("y"))
+    both = links.join(left, "raw_a").join(right, "raw_b").where("x <> y")
+    return both.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()
+
+
+def identical_looking_groups(keys: DataFrame) -> DataFrame:
+    """(rec, group_id, n_forms): one row per record that looks like a differently written one; ``group_id`` names
+    the consistent form, ``n_forms`` counts its spellings.  Copies stay one row each."""
+    forms = keys.groupBy("canon").agg(F.countDistinct("raw").alias("n_forms")).where("n_forms > 1")
+    return keys.join(forms, "canon").select("rec", F.lower(F.hex("canon")).alias("group_id"), "n_forms").distinct()

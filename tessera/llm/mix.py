@@ -228,15 +228,17 @@ def mix_sources(documents: DataFrame, targets: DataFrame, fraction: float = 0.5)
         .agg(F.sum("n_tokens").alias("tokens"))
         .where("tokens > 0")
     )
-    rates, _ = fit_rates(materialize(groups), weights * fraction * float(sizes["t"] or 0), caps)
+    rates, history = fit_rates(materialize(groups), weights * fraction * float(sizes["t"] or 0), caps)
+    if len(history) == STEPS and history[-1] > 1e-3 and history[-2] - history[-1] > 1e-5:
+        raise RuntimeError(f"the rates did not settle in {STEPS} steps: {history[-1]:.2g} of the mix is left")
     whole = F.floor(F.col("rate") + 1e-9).cast("int")
     plan = rates.select("key", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("part"))
     buckets = max(64, int(sizes["n"] or 0) // BUCKET_DOCUMENTS)
     chosen = docs.where("levels is not null and n_tokens > 0").select(
         "doc_id", "source", "n_tokens", "levels", key.alias("key")
     )
-    # the plan has one row per membership: bounded by the grid of levels, far below the broadcast limit
-    placed = chosen.join(F.broadcast(plan), "key").withColumn(
+    # one row per membership: few with few sources, many with many; the planner measures the side before it broadcasts
+    placed = chosen.join(materialize(plan), "key").withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(buckets))
     )
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -252,7 +254,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, fraction: float = 0.5)
         .select("key", F.col("c.bucket").alias("cut"), F.col("c.rest").alias("rest"))
     )
     cut = materialize(cut)
-    with_cut = placed.join(F.broadcast(cut), "key", "left")
+    with_cut = placed.join(cut, "key", "left")
     clear = with_cut.where("cut is null or bucket <> cut").withColumn(
         "copies", F.col("whole") + F.when(F.col("part") <= 0, 0).when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1).otherwise(0)
     )

@@ -13,6 +13,10 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return canon.identical_looking_pairs(cut_lineage(canon.visual_keys(_p5_records(spark, base), "rec", "body")))
 
 
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    return canon.identical_looking_groups(cut_lineage(canon.visual_keys(_p5_records(spark, base), "rec", "body")))
+
+
 def p5_canonical(spark: SparkSession, base: str) -> DataFrame:
     return canon.canonical_text(_p5_records(spark, base), "rec", "body")
 
@@ -42,6 +46,7 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p5_canonical": p5_canonical,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,

@@ -10,16 +10,27 @@ from . import mix, pack
 from .tokens import count_tokens, source_name
 
 
+def _p8_targets(spark: SparkSession, base: str) -> dict[str, float]:
+    rows = read_table(spark, base, "mix_targets").select(source_name("source").alias("s"), "target_share").where("s is not null and target_share > 0")
+    sums = rows.groupBy("s").agg(F.sum("target_share").alias("w")).collect()  # a table of fixed size
+    total = sum(r["w"] for r in sums)
+    return {r["s"]: r["w"] / total for r in sums}
+
+
 def p8_containers(spark: SparkSession, base: str) -> DataFrame:
-    """Every document text in containers of 2,048 tokens, windows mixed by source."""
-    known = read_table(spark, base, "mix_targets").select(source_name("source").alias("s")).where("s is not null").distinct()
-    names = sorted(r["s"] for r in known.collect())  # a table of fixed size
+    """Every document text in containers of 2,048 tokens, windows mixed to the shares of ``mix_targets``."""
+    targets = _p8_targets(spark, base)
     sizes = materialize(count_tokens(read_table(spark, base, "documents")))
-    return pack.pack_items(sizes, names).withColumnRenamed("id", "doc_id")
+    return pack.pack_items(sizes, sorted(targets), targets=targets).withColumnRenamed("id", "doc_id")
 
 
 def p8_report(spark: SparkSession, base: str) -> DataFrame:
-    return pack.packing_report(p8_containers(spark, base))
+    """Space and mixture of both settings: the stated shares and the sources' own."""
+    targets = _p8_targets(spark, base)
+    sizes = materialize(count_tokens(read_table(spark, base, "documents")))
+    stated = pack.packing_report(pack.pack_items(sizes, sorted(targets), targets=targets), targets=targets)
+    own = pack.packing_report(materialize(pack.pack_items(sizes, sorted(targets))))
+    return stated.select(F.lit("targets").alias("setting"), "*").unionByName(own.select(F.lit("own").alias("setting"), "*"))
 
 
 def p9_mix(spark: SparkSession, base: str) -> DataFrame:

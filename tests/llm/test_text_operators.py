@@ -228,3 +228,12 @@ def test_subject_sample_is_drawn_per_area(spark):
 )
 def test_language_by_script(text, lang, other):
     assert defects.is_other_language(text, lang) is other
+
+
+def test_many_copies_of_two_spellings(spark):
+    schema = "rec string, body string"
+    df = spark.range(4000).selectExpr("concat('r', id) AS rec", "if(id = 7, 'oﬃce', 'office') AS body")
+    keys = canon.visual_keys(df, "rec", "body")
+    assert canon.identical_looking_pairs(keys).count() == 3999
+    assert {(r["group_id"], r["n_forms"]) for r in canon.identical_looking_groups(keys).collect()} == {(keys.selectExpr("lower(hex(canon)) AS c").first()["c"], 2)}
+    assert canon.identical_looking_groups(canon.visual_keys(spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], schema), "rec", "body")).count() == 0

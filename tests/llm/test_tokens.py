@@ -108,3 +108,30 @@ def test_classifier_on_held_out_documents(spark):
     held = docs.where("doc_id >= 800 and doc_id < 9000").collect()
     right = sum(names[int(np.argmax(model.posterior(r["text"])))] == r["truth"] for r in held)
     assert right > 0.97 * len(held)
+
+
+def test_pack_to_stated_targets(spark):
+    rng = random.Random(9)
+    data = [(i, rng.choices(["a", "b", "stray"], [8, 3, 1])[0], rng.randint(1, 120)) for i in range(6000)] + [(7000, "a", 2300), (7001, "b", 0), (7001, "b", 0)]
+    df = spark.createDataFrame(data, "id bigint, queue string, n_tokens bigint")
+    targets = {"a": 0.5, "b": 0.5}
+    packed = pack.pack_items(df, ["a", "b"], 1000, 60_000, targets)
+    out = packed.collect()
+    placed, fill = Counter(), Counter()
+    for r in out:
+        placed[r["id"]] += r["n_tokens"]
+        fill[r["container_id"]] += r["n_tokens"]
+    assert placed == Counter({i: n for i, _, n in data}) and max(fill.values()) <= 1000
+    assert sum(r["id"] == 7001 for r in out) == 2
+    mixed = [r for r in out if r["mixed"]]
+    share = Counter()
+    for r in mixed:
+        share[r["queue"]] += r["n_tokens"]
+    # b is the scarce one: nearly all of it is mixed, one to one
+    assert set(share) == {"a", "b"} and abs(share["a"] / sum(share.values()) - 0.5) < 0.02
+    assert share["b"] > 0.9 * sum(n for _, q, n in data if q == "b")
+    report = pack.packing_report(packed, 1000, targets).first()
+    assert report["mean_deviation"] < 0.08 and report["unused_share"] < 0.05
+    assert abs(report["mixed_share"] - sum(share.values()) / sum(placed.values())) < 1e-9
+    assert pack.pack_items(df.where("queue = 'stray'"), ["a", "b"], 1000, 60_000, targets).where("mixed").count() == 0
+    assert pack.pack_items(df.where("false"), ["a", "b"], 1000, 60_000, targets).count() == 0
