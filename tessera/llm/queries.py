@@ -35,6 +35,16 @@ def p6_pieces(spark: SparkSession, base: str) -> DataFrame:
     return split.split_items(read_table(spark, base, "corpus"), "_id", "text")
 
 
+def p6_rebuilt(spark: SparkSession, base: str) -> DataFrame:
+    """Every split article put together again from its pieces, and whether all pieces keep the limit."""
+    pieces = p6_pieces(spark, base).select("_id", "piece_no", "piece")
+    # the first 200 characters of a piece are those of the one before
+    own = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substring("piece", split.OVERLAP + 1, split.LIMIT))
+    parts = pieces.select("_id", "piece_no", own.alias("own"), (F.char_length("piece") <= split.LIMIT).alias("fits"))
+    whole = parts.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("l"), F.bool_and("fits").alias("fits"))  # one article a row
+    return whole.select("_id", F.md5(F.array_join(F.transform("l", lambda x: x["own"]), "")).alias("text_md5"), "fits")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_pieces(spark, base).where("piece_no = 0").select("_id")
 
@@ -50,11 +60,13 @@ QUERIES = {
     "p5_canonical": p5_canonical,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p6_rebuilt": p6_rebuilt,
     "p7_found": p7_found,
 }
 
 ORACLE = {
     "p6_found": "SELECT _id FROM corpus WHERE length(text) > 4000",
+    "p6_rebuilt": "SELECT _id, md5(text) AS text_md5, true AS fits FROM corpus WHERE length(text) > 4000",
     "p7_found": """
 WITH long AS (
   SELECT model_key, qid, unnest(ranked) AS doc_id, unnest(scores) AS score FROM dense_runs

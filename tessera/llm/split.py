@@ -110,7 +110,8 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
         if not alive[j] or stamp[j] != sj:
             continue
         i = left[j]
-        if stamp[i] != si:
+        # an entry pushed for a former neighbour may carry the stamp of the present one by chance, but not its size
+        if stamp[i] != si or size != union(i, j):
             continue
         if size > (limit if start[i] == 0 else room):
             continue  # it only grows: this pair can never merge

@@ -77,6 +77,16 @@ def test_pieces_rebuild_the_text(text, limit, overlap):
         assert after[:overlap] == before[len(before) - overlap :]
 
 
+def test_no_piece_exceeds_the_limit():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(150):
+        text = "".join(rng.choice(["\n\n", "\n1. ", ". A", ", ", " "]) + "x" * rng.randint(1, 900) for _ in range(rng.randint(5, 60)))
+        pieces = [p for p, _ in split.pieces_of(text)]
+        assert max(map(len, pieces)) <= split.LIMIT and _rebuild(pieces, split.OVERLAP if len(pieces) > 1 else 0) == text
+
+
 def test_natural_boundaries_come_first():
     paragraphs = ["Sentence one here. Sentence two follows. " * 20 for _ in range(30)]
     text = "\n\n".join(paragraphs)
