@@ -399,33 +399,6 @@ def rank_eval_missing_skip(spark: SparkSession, base: str) -> DataFrame:
     return _model_means(spark, base, "skip")
 
 
-_LISTS = """lists AS (
-  SELECT qid, ranked FROM (SELECT qid, ranked, row_number() OVER (PARTITION BY qid
-    ORDER BY encoded_at DESC NULLS LAST, model_key DESC, shard DESC, array_to_string(ranked, ',') DESC) AS n FROM dense_runs WHERE ranked IS NOT NULL) WHERE n = 1
-)"""
-
-
-def _lists(spark: SparkSession, base: str) -> DataFrame:
-    rows = read_table(spark, base, "dense_runs").where("ranked is not null")
-    key = F.struct("encoded_at", "model_key", "shard", F.array_join("ranked", ","))
-    return rows.groupBy("qid").agg(F.max_by("ranked", key).alias("ranked"))
-
-
-@query(f"""WITH {_LISTS}, {_JUDGED}, p AS (
-  SELECT qid, len(ranked) - len(list_distinct(ranked)) AS dup, len(list_distinct(ranked)) > 10 AS cut,
-    list_contains(list_slice((SELECT list(x ORDER BY n) FROM (SELECT x, min(n) AS n FROM (SELECT unnest(ranked) AS x, generate_subscripts(ranked, 1) AS n) GROUP BY x)), 1, 10), qid) AS own,
-    len(list_filter(list_slice((SELECT list(x ORDER BY n) FROM (SELECT x, min(n) AS n FROM (SELECT unnest(ranked) AS x, generate_subscripts(ranked, 1) AS n) GROUP BY x)), 1, 10), lambda x: x <> qid)) AS n
-  FROM lists
-), present AS (SELECT qid FROM p WHERE n > 0)
-SELECT count(*) AS n_lists, CAST(coalesce(sum(dup), 0) AS BIGINT) AS n_duplicates, count(*) FILTER (cut) AS n_truncated, count(*) FILTER (own) AS n_self_matches,
-  (SELECT count(*) FROM (SELECT DISTINCT qid FROM judged) WHERE qid NOT IN (SELECT qid FROM present)) AS n_missing,
-  (SELECT count(*) FROM present WHERE qid NOT IN (SELECT qid FROM judged)) AS n_extra,
-  (SELECT count(*) FROM present WHERE qid IN (SELECT qid FROM judged)) AS n_scored FROM p""")
-def rank_eval_audit(spark: SparkSession, base: str) -> DataFrame:
-    prepared = evaluate.prepare_lists(_lists(spark, base), 10, True)
-    return evaluate.audit(prepared, _judged(spark, base), True)
-
-
 @query(f"""WITH {_JUDGED}, lists AS MATERIALIZED (
   SELECT model_key, qid, ranked, row_number() OVER () AS id FROM dense_runs WHERE ranked IS NOT NULL
 ), firsts AS (
@@ -443,11 +416,15 @@ def rank_eval_audit(spark: SparkSession, base: str) -> DataFrame:
 SELECT l.*, (SELECT count(DISTINCT qid) FROM judged) - coalesce(n_scored, 0) AS n_missing, coalesce(n_extra, 0) AS n_extra, coalesce(n_scored, 0) AS n_scored
 FROM lists_of l LEFT JOIN found f ON f.model_key IS NOT DISTINCT FROM l.model_key""")
 def rank_eval_audit_models(spark: SparkSession, base: str) -> DataFrame:
-    """Every list of every model and shard, counted per model; ``rank_eval_audit`` sees the newest list of a query only."""
+    """Every list of every model and shard, counted per model."""
     lists = read_table(spark, base, "dense_runs").where("ranked is not null").select("model_key", "qid", "ranked")
     return evaluate.audit(evaluate.prepare_lists(lists, filter_self=True), _judged(spark, base), True, ["model_key"])
 
 
+# the same job under the name it had before it read every list
+QUERIES["rank_eval_audit"], ORACLE["rank_eval_audit"] = rank_eval_audit_models, ORACLE["rank_eval_audit_models"]
+
+
 @query("SELECT model_key, count(*) FILTER (list_contains(ranked, qid)) AS n_self, count(*) AS n_lists FROM dense_runs GROUP BY ALL")
 def self_rank_warning(spark: SparkSession, base: str) -> DataFrame:
     own = F.coalesce(F.array_contains("ranked", F.col("qid")), F.lit(False))
@@ -477,21 +454,33 @@ def _long(spark: SparkSession, base: str) -> DataFrame:
     return evaluate.long_metrics(scores.join(q, "qid"), ["model_key", "task", "lang"]).withColumnRenamed("model_key", "model")
 
 
-@query(f"""WITH {_PER_QUERY}, long AS ({_LONG}), cells AS (SELECT l.*, q.task, q.lang FROM long l JOIN queries q ON q._id = l.qid),
+# Two-sided p of Student's t by the finite series for whole degrees of freedom.
+_TESTS = f"""{_PER_QUERY}, long AS ({_LONG}), cells AS (SELECT l.*, q.task, q.lang FROM long l JOIN queries q ON q._id = l.qid),
 d AS (SELECT a.task, a.lang, a.metric, a.model_key AS method, a.value - b.value AS d FROM cells a JOIN cells b ON a.qid = b.qid AND a.metric = b.metric AND a.task = b.task AND a.lang = b.lang
-  WHERE b.model_key = 'enc-multi-base' AND a.model_key <> 'enc-multi-base')
-SELECT task, lang, metric, method, count(*) AS n_queries, round(avg(d), 6) AS meandiff,
-  round(CASE WHEN min(d) = max(d) OR stddev_samp(d) = 0 THEN 0 ELSE avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 4) AS t_stat
-FROM d GROUP BY task, lang, metric, method HAVING count(*) >= 2""")
+  WHERE b.model_key = 'enc-multi-base' AND a.model_key <> 'enc-multi-base'),
+tt AS (SELECT task, lang, metric, method, count(*) AS n_queries, avg(d) AS meandiff, count(*) - 1 AS df, min(d) = max(d) OR stddev_samp(d) = 0 AS constant,
+    CASE WHEN min(d) = max(d) OR stddev_samp(d) = 0 THEN 0 ELSE avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t
+  FROM d GROUP BY task, lang, metric, method HAVING count(*) >= 2),
+angles AS (SELECT *, atan(abs(t) / sqrt(df)) AS o FROM tt),
+ps AS (SELECT *, CASE WHEN constant THEN 1.0 WHEN df % 2 = 0 THEN
+      1 - sin(o) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(2 * k + 1) - k * ln(4) - 2 * lgamma(k + 1)) * cos(o) ** (2 * k)))
+    ELSE 1 - 2 / pi() * (o + sin(o) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos(o) ** (2 * k + 1))), 0)) END AS p FROM angles)"""
+
+
+@query(f"""WITH {_TESTS} SELECT task, lang, metric, method, n_queries, round(meandiff, 6) AS meandiff, round(t, 4) AS t_stat, round(p, 6) AS p_raw FROM ps""")
 def paired_t(spark: SparkSession, base: str) -> DataFrame:
     tests = stats.compare_to_baseline(_long(spark, base), "enc-multi-base")
-    return tests.select("task", "lang", "metric", "method", "n_queries", F.round("meandiff", 6).alias("meandiff"), F.round("t_stat", 4).alias("t_stat"))
+    return tests.select(
+        "task", "lang", "metric", "method", "n_queries", F.round("meandiff", 6).alias("meandiff"), F.round("t_stat", 4).alias("t_stat"), F.round("p_raw", 6).alias("p_raw")
+    )
 
 
-@query()
+@query(f"""WITH {_TESTS}, steps AS (SELECT *, p * (count(*) OVER (PARTITION BY task, lang, metric) - row_number() OVER (PARTITION BY task, lang, metric ORDER BY p, method) + 1) AS step FROM ps),
+adjusted AS (SELECT *, least(1.0, max(step) OVER (PARTITION BY task, lang, metric ORDER BY p, method ROWS UNBOUNDED PRECEDING)) AS adj FROM steps)
+SELECT task, lang, metric, method, n_queries, round(adj, 6) AS p_adj_holm, adj < 0.05 AS reject, adj < 0.05 AND meandiff > 0 AS gain FROM adjusted""")
 def holm_adjust(spark: SparkSession, base: str) -> DataFrame:
     tests = stats.compare_to_baseline(_long(spark, base), "enc-multi-base")
-    return tests.withColumn("gain", stats.significant_gain())
+    return tests.select("task", "lang", "metric", "method", "n_queries", F.round("p_adj_holm", 6).alias("p_adj_holm"), "reject", stats.significant_gain().alias("gain"))
 
 
 # ---- second stage ------------------------------------------------------------------------------
@@ -614,6 +603,23 @@ def changed_pair_similarity(spark: SparkSession, base: str) -> DataFrame:
     return p.select("pair_id", F.round(T.dice(a, b), 6).alias("dice"), F.round(T.simpson(a, b), 6).alias("simpson"))
 
 
+@query(f"""WITH l AS (SELECT event_id, pair_id AS id, list_distinct({TOKENS.format('text_before')}) AS t, length(text_before) AS n FROM article_pairs WHERE event_id IS NOT NULL AND text_before IS NOT NULL),
+r AS (SELECT event_id, pair_id AS id, list_distinct({TOKENS.format('text_after')}) AS t, length(text_after) AS n FROM article_pairs WHERE event_id IS NOT NULL AND text_after IS NOT NULL),
+b AS (SELECT l.event_id, l.id AS left_id, r.id AS right_id, len(list_intersect(l.t, r.t)) AS c, len(l.t) AS a, len(r.t) AS b, least(l.n, r.n) AS n FROM l JOIN r ON l.event_id = r.event_id WHERE len(l.t) > 0 AND len(r.t) > 0),
+s AS (SELECT *, 2.0 * c / (a + b) AS dice, c / least(a, b) AS simpson FROM b)
+SELECT event_id, left_id, right_id, round(dice, 6) AS dice, round(simpson, 6) AS simpson, dice >= 0.99 AS is_minor FROM s WHERE dice >= 0.7 OR (simpson >= 0.95 AND n > 40)""")
+def article_alignment(spark: SparkSession, base: str) -> DataFrame:
+    """Articles before and after an amendment whose texts match, within each event."""
+    pairs = read_table(spark, base, "article_pairs").where("event_id is not null")
+
+    def side(column: str) -> DataFrame:
+        rows = pairs.where(F.col(column).isNotNull())
+        return rows.select("event_id", F.col("pair_id").alias("id"), T.tokens(column).alias("tokens"), F.char_length(column).alias("n_chars"))
+
+    found = construct.similarity_pairs(side("text_before"), side("text_after"), ["event_id"])
+    return found.select("event_id", "left_id", "right_id", F.round("dice", 6).alias("dice"), F.round("simpson", 6).alias("simpson"), "is_minor")
+
+
 # ---- costs -------------------------------------------------------------------------------------
 
 #: (model, input, output) in USD per million tokens, for the models of the expansions table (fixed values).
@@ -645,7 +651,9 @@ def cost_rollup(spark: SparkSession, base: str) -> DataFrame:
 # ---- incremental evaluation --------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH {_JUDGED}, hits AS (SELECT DISTINCT r.model_key, r.qid, r.doc_id FROM (SELECT model_key, qid, unnest(ranked) AS doc_id FROM dense_runs) r
+  JOIN judged j ON j.qid = r.qid AND j.doc_id = r.doc_id WHERE j.rel > 0)
+SELECT model_key, count(*) AS n_relevant_found, (SELECT count(*) FROM judged WHERE rel > 0) AS n_judged FROM hits GROUP BY model_key""")
 def streaming_recall(spark: SparkSession, base: str) -> DataFrame:
     from ..streaming.incremental import recall_from_stream
 
