@@ -1,6 +1,6 @@
 """All registered core queries and their SQL."""
 
-from . import references, retrieval
+from . import files, references, retrieval, training
 
-QUERIES = {**references.QUERIES, **retrieval.QUERIES}
-ORACLE = {**references.ORACLE, **retrieval.ORACLE}
+QUERIES = {**references.QUERIES, **retrieval.QUERIES, **files.QUERIES, **training.QUERIES}
+ORACLE = {**references.ORACLE, **retrieval.ORACLE, **files.ORACLE, **training.ORACLE}

@@ -4,7 +4,8 @@ evaluate, aggregate, test.  Each returns a lazy frame unless it writes; all comp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,88 @@ def evaluate_ranked(
     return scores, evaluate.mean_metrics(scores), evaluate.audit(prepared, judgments, filter_self)
 
 
+def write_cell(root: str, run: DataFrame, judgments: DataFrame, model: str, task: str, lang: str, split: str = "test", k: int = 100) -> None:
+    """Everything that is kept of one cell: the raw run, the first ``k`` after the self filter where second stages
+    look for them, and the metrics with their per-query values as one JSON object."""
+    run = materialize(run.select("qid", "doc_id", "score", "rank"))
+    writers.write_run(f"{root}/{model}_runs/{task}_{lang}.jsonl", run)
+    top, scores, means = persist_cell(run, judgments, task, k)
+    writers.write_run(readers.first_stage_path(root, model, task, lang), top)
+    per_query = evaluate.long_metrics(scores).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    # by its format a cell is one object with a small map for every judged query
+    whole = per_query.agg(F.map_from_entries(F.collect_list(F.struct("qid", "m"))).alias("per_query"))
+    metrics = F.create_map(*[x for m in evaluate.NAMES for x in (F.lit(m), F.col(m))]).alias("metrics")
+    total = judgments.agg(F.countDistinct("qid").alias("n_queries_total"))
+    cell = means.select("n_queries", metrics).join(total).join(whole)  # one row each
+    labels = {"model": model, "task": task, "lang": lang, "split": split}
+    named = cell.select(*[F.lit(v).alias(c) for c, v in labels.items()], F.lit(task == "rev2rev").alias("self_match_filtered"), "*")
+    writers.write_json(f"{root}/metrics/{model}_{task}_{lang}.json", named)
+
+
+Cells = Mapping[tuple[str, str], readers.Bundle]
+
+
+def run_bm25_all(spark: SparkSession, root: str, cells: Cells, k: int = 1000) -> None:
+    """BM25 over every (task, lang) of ``cells``, each persisted; the index of a language is built once."""
+    for (task, lang), bundle in cells.items():
+        build_bm25_index(root, lang, bundle.corpus)
+        write_cell(root, run_bm25(spark, root, lang, bundle.queries, k=k), bundle.qrels, "bm25", task, lang, bundle.split)
+
+
+def run_all(spark: SparkSession, root: str, cells: Cells, encoders: Mapping[str, plugins.Encoder], bm25: bool = True, k: int = 1000) -> None:
+    """BM25 and every encoder over all cells; a language's corpus is encoded once per model."""
+    if bm25:
+        run_bm25_all(spark, root, cells, k)
+    for model, encoder in encoders.items():
+        for (task, lang), bundle in cells.items():
+            path = f"{root}/vectors/{T.check_alias(model)}_{lang}"
+            if not readers.exists(spark, path):
+                writers.write_table(path, encode_dense(bundle.corpus, encoder, False))
+            asked = materialize(encode_dense(bundle.queries, encoder, True, "qid"))
+            write_cell(root, dense.search(asked, spark.read.parquet(path), k), bundle.qrels, model, task, lang, bundle.split)
+
+
+@dataclass(frozen=True)
+class TopBuild:
+    path: str
+    created: bool
+    n_queries: int
+    top_k: int
+
+
+def build_top(spark: SparkSession, root: str, run: DataFrame, model: str, task: str, lang: str, split: str, k: int = 100, force: bool = False) -> TopBuild:
+    """The first ``k`` of a training split's run after the self filter, kept if the file exists."""
+    if split not in ("train", "validation"):
+        raise ValueError("training lists are built for train and validation")
+    path = writers.top_path(root, task, lang, model, split)
+    created = force or not readers.exists(spark, path)
+    if created:
+        kept = evaluate.ranked(evaluate.drop_self_matches(run).select("qid", "doc_id", "score")) if task == "rev2rev" else run
+        writers.write_run(path, kept, k)
+    return TopBuild(path, created, readers.scored_run(spark, path).select("qid").distinct().count(), k)
+
+
+def mine_chain(
+    spark: SparkSession, root: str, run: DataFrame, judgments: DataFrame, model: str, task: str, lang: str, split: str, seed: int = 13, exact: bool = False, k: int = 100
+) -> tuple[str, DataFrame]:
+    """Search result to training file: self filter, first ``k``, mining, writing.  Returns (path, counters)."""
+    top = readers.scored_run(spark, build_top(spark, root, run, model, task, lang, split, k).path)
+    path = f"{root}/training_data/{split}/{task}_{lang}_{model}.jsonl"
+    writers.write_triples(path, build_training_data(top, judgments, task, seed, exact, k))
+    return path, mine.mining_counters(top, judgments, task == "rev2rev")
+
+
+def listwise_ledger(path: str, calls: DataFrame, prices: DataFrame, config: Mapping[str, str]) -> None:
+    """Totals per model with the calls of every query, written as JSON beside the cell; ``calls`` as in ``report.ledger``."""
+    each = report.calls_per_query(calls).groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("qid", "n_calls"))).alias("per_query_calls"))
+    settings = F.create_map(*[F.lit(x) for pair in sorted(config.items()) for x in pair]) if config else F.create_map().cast("map<string,string>")
+    writers.write_json(path, report.ledger(calls, prices).join(each, "model").withColumn("config", settings))
+
+
+def write_aggregate(path: str, cells: DataFrame, keep: Sequence[str] | None = None) -> None:
+    writers.write_json(path, aggregate(cells, keep).orderBy("model"))
+
+
 def build_training_data(run: DataFrame, judgments: DataFrame, task: str, seed: int = 13, exact: bool = False, k: int = 100) -> DataFrame:
     first = run.where(F.col("rank") <= k)
     return (mine.mine_replayed if exact else mine.mine_hashed)(first, judgments, task == "rev2rev", seed)
@@ -155,12 +238,23 @@ def ttest_holm(cells: DataFrame, baseline: str = "bm25") -> DataFrame:
     return stats.compare_to_baseline(readers.per_query_scores(cells), baseline)
 
 
-def aggregate_domain_adaptation(cells: DataFrame, configs: DataFrame, metrics: Sequence[str] = ("recall_100", "ndcg_10")) -> DataFrame:
-    """Adapted cells beside their base cells with deltas and training method, sorted for a report."""
+def aggregate_domain_adaptation(
+    cells: DataFrame, configs: DataFrame, metrics: Sequence[str] = ("recall_100", "ndcg_10"), epochs: DataFrame | None = None
+) -> DataFrame:
+    """Adapted cells beside their base cells with deltas, training method, significance against the own base (Holm
+    within a cell and metric; a column ``significance`` of structs) and, with ``epochs`` (alias, line_no and
+    the epoch columns), the training's last and best epoch, sorted for a report."""
     flat = cells.select("model", "task", "lang", *[F.col("metrics")[m].alias(m) for m in metrics])
     tuned = flat.where(T.is_tuned("model")).withColumn("p", T.parse_alias("model"))
     tuned = tuned.select("model", "task", "lang", *metrics, "p.base_model", "p.train_task", "p.train_lang")
     how = report.attach_configs(tuned.select(F.col("model").alias("alias"), "base_model", "train_task", "train_lang").distinct(), configs)
     with_base = report.deltas(tuned, flat.where(~T.is_tuned("model")), list(metrics))
     method = how.select(F.col("alias").alias("model"), "tuning_method")
-    return with_base.join(method, "model", "left").orderBy("base_model", "train_task", "train_lang", "model")
+    pairs = tuned.select(F.col("model").alias("method"), F.col("base_model").alias("baseline")).distinct()
+    tests = stats.compare_adapted(readers.per_query_scores(cells), pairs, [evaluate.NAMES[m] for m in metrics])
+    each = F.struct("metric", "n_queries", "meandiff", "t_stat", "p_raw", "p_adj_holm", "reject")
+    found = tests.groupBy(F.col("method").alias("model"), "task", "lang").agg(F.array_sort(F.collect_list(each)).alias("significance"))
+    out = with_base.join(method, "model", "left").join(found, ["model", "task", "lang"], "left")
+    if epochs is not None:
+        out = out.join(report.training_progress(epochs).withColumnRenamed("alias", "model"), "model", "left")
+    return out.orderBy("base_model", "train_task", "train_lang", "model", "task", "lang")

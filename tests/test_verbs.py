@@ -65,3 +65,68 @@ def test_resume_of_expansions(spark, tmp_path):
     verbs.expand_queries(spark, path, prompts, lambda p: "" if p == "two" else "first")
     verbs.expand_queries(spark, path, prompts, lambda p: "second")
     assert {r["qid"]: r["expansion"] for r in readers.expansions(spark, path).collect()} == {"a": "first", "b": "second"}
+
+
+def _bundles(spark):
+    corpus, queries, qrels = _bundle(spark)
+    again = queries.selectExpr("concat('d', ord) AS qid", "text", "ord")  # queries that are articles
+    own = qrels.selectExpr("replace(qid, 'q', 'd') AS qid", "doc_id", "rel")
+    b = lambda task, q, j: readers.Bundle(task, "en", "test", corpus, q, j)
+    return {("rat2rev", "en"): b("rat2rev", queries, qrels), ("rev2rev", "en"): b("rev2rev", again, own)}
+
+
+def test_all_cells_end_to_end(spark, tmp_path):
+    root, cells = str(tmp_path), _bundles(spark)
+    verbs.run_all(spark, root, cells, {"hash": plugins.HashingEncoder(plugins.ModelSpec("h", 256))}, k=30)
+    found = readers.metric_cells(spark, f"{root}/metrics")
+    assert {(r["model"], r["task"]) for r in found.collect()} == {(m, t) for m in ("bm25", "hash") for t in ("rat2rev", "rev2rev")}
+    assert readers.complete_cells(found, ["recall_10", "map"]).where("not complete").count() == 0
+    assert readers.per_query_scores(found).where("model = 'bm25' and task = 'rat2rev'").count() == 5 * 7
+    # the raw run has the self matches, the lists of the second stage do not
+    raw = readers.scored_run(spark, f"{root}/bm25_runs/rev2rev_en.jsonl")
+    assert raw.where("qid = doc_id").count() == 5 and readers.first_stage_run(spark, root, "bm25", "rev2rev", "en").where("qid = doc_id").count() == 0
+    assert readers.first_stage_run(spark, root, "hash", "rat2rev", "en").count() > 0
+    verbs.write_aggregate(f"{root}/aggregate.json", found)
+    assert spark.read.json(f"{root}/aggregate.json").count() == 2
+
+
+def test_mining_chain_and_kept_lists(spark, tmp_path):
+    root, cells = str(tmp_path), _bundles(spark)
+    b = cells["rev2rev", "en"]
+    verbs.build_bm25_index(root, "en", b.corpus)
+    run = verbs.run_bm25(spark, root, "en", b.queries)
+    first = verbs.build_top(spark, root, run, "bm25", "rev2rev", "en", "train", 5)
+    again = verbs.build_top(spark, root, run, "bm25", "rev2rev", "en", "train", 5)
+    assert (first.created, again.created, again.n_queries) == (True, False, 5)
+    path, counters = verbs.mine_chain(spark, root, run, b.qrels, "bm25", "rev2rev", "en", "train", exact=True, k=5)
+    triples = readers.triples(spark, path).collect()
+    assert triples and all(r["qid"] not in (r["hard_negative_doc_id"],) for r in triples) and counters.first()["n_queries"] == 5
+    try:
+        verbs.build_top(spark, root, run, "bm25", "rev2rev", "en", "test")
+        raise AssertionError("test is no training split")
+    except ValueError:
+        pass
+
+
+def test_adaptation_report_with_significance_and_progress(spark, tmp_path):
+    for model, base in (("enc", 0.2), ("enc-ft-rat2rev-en", 0.5)):
+        cell = {"model": model, "task": "rat2rev", "lang": "en", "metrics": {"recall_100": base, "ndcg_10": base}}
+        cell["per_query"] = {f"q{i}": {"R@100": base + 0.01 * i * base, "nDCG@10": 0.3} for i in range(6)}
+        (tmp_path / f"{model}.json").write_text(json.dumps(cell))
+    configs = spark.createDataFrame([("enc", "rat2rev", "en", "enc-ft-rat2rev-en", "full")], "model string, task string, lang string, output_alias string, tuning_method string")
+    lines = [{"epoch": e, "step": e, "train_loss": 1.0, "val_loss": 1.0 / e, "lr": 0.1, "best": e == 2, "bad_epochs": 0} for e in (1, 2, 3)]
+    (tmp_path / "epochs.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    epochs = readers.epoch_metrics(spark, str(tmp_path / "epochs.jsonl")).selectExpr("'enc-ft-rat2rev-en' AS alias", "*")
+    row = verbs.aggregate_domain_adaptation(readers.metric_cells(spark, str(tmp_path / "*.json")), configs, epochs=epochs).first()
+    tests = {s["metric"]: s for s in row["significance"]}
+    assert row["tuning_method"] == "full" and abs(row["delta_recall_100"] - 0.3) < 1e-9
+    assert tests["R@100"]["reject"] and tests["nDCG@10"]["p_raw"] == 1.0 and not tests["nDCG@10"]["reject"]
+    assert (row["last"]["epoch"], row["best"]["epoch"]) == (3, 2)
+
+
+def test_ledger_file(spark, tmp_path):
+    calls = spark.createDataFrame([("m", "q1", 10, 2), ("m", "q1", 5, 1), ("m", "q2", 1, 1)], "model string, qid string, input_tokens bigint, output_tokens bigint")
+    prices = spark.createDataFrame([("m", 1.0, 2.0)], "model string, input_price double, output_price double")
+    verbs.listwise_ledger(str(tmp_path / "x.api_ledger.json"), calls, prices, {"window_size": "20"})
+    row = spark.read.json(str(tmp_path / "x.api_ledger.json")).first()
+    assert (row["n_calls"], row["input_tokens"]) == (3, 16) and row["per_query_calls"]["q1"] == 2 and row["config"]["window_size"] == "20"
