@@ -99,26 +99,47 @@ def augment(base: Column | str, addition: Column | str) -> Column:
     return F.when(a.isNull() | (a == ""), b).otherwise(F.concat_ws(" ", b, a))
 
 
-def prompt(family: Column | str, query: Column | str, before: Column | str, after: Column | str) -> Column:
-    """One prompt per family: a passage, keywords, or keywords informed by an amendment example.
+_ASK = {
+    ("passage", "en"): "Write a passage of law that answers this query.",
+    ("passage", "ja"): "次の問い合わせに答える法令の一節を書いてください。",
+    ("keywords", "en"): "List keywords for this query.",
+    ("keywords", "ja"): "次の問い合わせのキーワードを列挙してください。",
+    ("together", "en"): "List up to 10 keywords, one per line, that help to find articles amended together with this one.",
+    ("together", "ja"): "この条文とともに改正される条文を探すためのキーワードを、1行に1つ、10個まで挙げてください。",
+    ("for reason", "en"): "List up to 10 keywords, one per line, that help to find the articles this rationale amends.",
+    ("for reason", "ja"): "この改正理由により改正される条文を探すためのキーワードを、1行に1つ、10個まで挙げてください。",
+    ("explain", "en"): "Explain this article in plain words.",
+    ("explain", "ja"): "この条文を平易に説明してください。",
+}
+_PARTS = {"en": ("Query", "Before", "After", "Rationale", "Article", "(the article was deleted)"), "ja": ("問い合わせ", "改正前", "改正後", "改正理由", "条文", "（削除された条文）")}
+
+
+def prompt(family: Column | str, query: Column | str, before: Column | str, after: Column | str, task: Column | str | None = None, lang: Column | str | None = None) -> Column:
+    """One prompt per family, task and language: a passage, keywords, keywords informed by an amendment
+    (``rev2rev`` shows the article before and after, ``rat2rev`` the rationale), an explanation.
 
     A deleted article (null or empty text after) is described as deleted; texts are cut at the head.
+    Without a task an amendment is shown, without a language the prompt is English; an unknown family raises.
     """
+    f, t = _col(family), F.lit("rev2rev") if task is None else _col(task)
+    g = F.lit("en") if lang is None else _col(lang)
     q, b = head_chars(query), head_chars(before)
-    a = F.when(text_or_empty(after) == "", F.lit("(the article was deleted)")).otherwise(head_chars(after))
-    f = _col(family)
-    return (
-        F.when(f == "q2d_zs", F.concat(F.lit("Write a passage of law that answers this query.\nQuery: "), q, F.lit("\nPassage:")))
-        .when(f == "q2e_zs", F.concat(F.lit("List keywords for this query.\nQuery: "), q, F.lit("\nKeywords:")))
-        .when(
-            f == "task_q2e",
-            F.concat(
-                F.lit("An article was amended.\nBefore: "), b, F.lit("\nAfter: "), a, F.lit("\nList keywords for this query.\nQuery: "), q, F.lit("\nKeywords:"),
-            ),
+
+    def of(code: str) -> Column:
+        names = _PARTS[code]
+        part = lambda name, text: F.concat(F.lit(f"\n{name}: "), text)
+        ask = lambda kind: F.lit(_ASK[kind, code])
+        a = F.when(text_or_empty(after) == "", F.lit(names[5])).otherwise(head_chars(after))
+        return (
+            F.when(f == "q2d_zs", F.concat(ask("passage"), part(names[0], q)))
+            .when(f == "q2e_zs", F.concat(ask("keywords"), part(names[0], q)))
+            .when((f == "task_q2e") & (t == "rat2rev"), F.concat(ask("for reason"), part(names[3], q)))
+            .when(f == "task_q2e", F.concat(ask("together"), part(names[1], b), part(names[2], a)))
+            .when(f == "d2e", F.concat(ask("explain"), part(names[4], b)))
+            .otherwise(F.raise_error(F.concat(F.lit("unknown prompt family "), F.coalesce(f, F.lit("null")))).cast("string"))
         )
-        .when(f == "d2e", F.concat(F.lit("Explain this article in plain words.\nArticle: "), b, F.lit("\nExplanation:")))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown prompt family "), F.coalesce(f, F.lit("null")))).cast("string"))
-    )
+
+    return F.when(g == "ja", of("ja")).otherwise(of("en"))
 
 
 def chat_pair(instruction: str, query: Column | str, document: Column | str) -> Column:

@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -29,16 +30,14 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """What an encoder needs to know about its texts."""
+    """How texts reach an encoder: what stands before a text by its role (``query`` or ``passage``), how many of
+    its tokens are read (None for all), and whether vectors have unit length."""
 
-    key: str
-    dim: int = 64
-    #: tokens of a text that are read, None for all
-    max_length: int | None = 512
-    query_prefix: str = ""
-    passage_prefix: str = ""
-    pooling: str = "mean"
-    normalise: bool = True
+    name: str
+    dimension: int = 64
+    token_limit: int | None = 512
+    before: Mapping[str, str] = field(default_factory=dict)
+    unit_length: bool = True
 
 
 @dataclass(frozen=True)
@@ -48,18 +47,36 @@ class HashingEncoder:
     spec: ModelSpec
 
     def __call__(self, texts: Sequence[str], is_query: bool) -> np.ndarray:
-        prefix = self.spec.query_prefix if is_query else self.spec.passage_prefix
-        out = np.zeros((len(texts), self.spec.dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in _TOKEN.findall((prefix + t).lower())[: self.spec.max_length]:
+        lead = self.spec.before.get("query" if is_query else "passage", "")
+        out = np.zeros((len(texts), self.spec.dimension), dtype=np.float32)
+        for row, t in zip(out, texts):
+            for tok in _TOKEN.findall((lead + t).lower())[: self.spec.token_limit]:
                 h = int.from_bytes(hashlib.md5(tok.encode()).digest()[:8], "little")
-                out[i, h % self.spec.dim] += 1.0 if h >> 63 else -1.0
-        if self.spec.normalise:
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+                row[h % self.spec.dimension] += 1.0 if h >> 63 else -1.0
+        if self.spec.unit_length:
+            length = np.linalg.norm(out, axis=1, keepdims=True)
+            out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
         return out
 
 
+def resolve_spec(base: ModelSpec, checkpoint: Mapping[str, object] | None = None, training: Mapping[str, object] | None = None) -> ModelSpec:
+    """The spec of a tuned encoder: what its checkpoint says goes before what its training says, both before the base."""
+    said = {**(training or {}), **(checkpoint or {})}
+    limit = said.get("max_length", base.token_limit)
+    return replace(base, name=str(said.get("output_alias") or base.name), token_limit=None if limit is None else int(limit))
+
+
+def yes_no_scorer(logits: Callable[[Sequence[str]], Sequence[tuple[float, float]]], instruction: str) -> PairScorer:
+    """A pair scorer from a language model that answers yes or no: ``logits`` gives for every chat text the logits of
+    both words at the answer's place, the score is their difference."""
+
+    def score(pairs: Sequence[tuple[str, str]]) -> list[float]:
+        chats = [f"<Instruct>: {instruction}\n<Query>: {q}\n<Document>: {d}" for q, d in pairs]
+        return [float(yes) - float(no) for yes, no in logits(chats)] if chats else []
+
+    return score
+
+
 def overlap_scorer(pairs: Sequence[tuple[str, str]]) -> list[float]:
     """Share of the query's distinct tokens that the document holds."""
     out = []
@@ -100,9 +117,12 @@ class Refused(Exception):
     """Raised by a generator whose content filter stopped the answer."""
 
 
-def generate(prompts: DataFrame, generator: Generator, attempts: int = 5, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(qid, expansion, error) for ``prompts`` (qid, prompt): retries with growing pauses, at most a
-    minute; a filtered prompt gives an empty answer and a tag, the last failure gives its name."""
+def generate(
+    prompts: DataFrame, generator: Generator, attempts: int = 5, wait: Callable[[float], None] = time.sleep, at_once: int = 8
+) -> DataFrame:
+    """(qid, expansion, error) for ``prompts`` (qid, prompt): at most ``at_once`` calls of a task run side by
+    side; retries with growing pauses, at most a minute; a filtered prompt gives an empty answer and a
+    tag, the last failure gives its name."""
 
     def ask(prompt: str) -> tuple[str, str | None]:
         error = None
@@ -118,8 +138,9 @@ def generate(prompts: DataFrame, generator: Generator, attempts: int = 5, wait:
         return "", error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers = [ask(p) for p in pdf["prompt"]]
-            yield pd.DataFrame({"qid": pdf["qid"], "expansion": [a[0] for a in answers], "error": [a[1] for a in answers]})
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            for pdf in batches:
+                answers = list(pool.map(ask, pdf["prompt"]))
+                yield pd.DataFrame({"qid": pdf["qid"], "expansion": [a[0] for a in answers], "error": [a[1] for a in answers]})
 
     return prompts.select("qid", "prompt").mapInPandas(run, "qid string, expansion string, error string")

@@ -361,7 +361,7 @@ def maxp_both(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def encoded_corpus_topk(spark: SparkSession, base: str) -> DataFrame:
     """The encoder plug-in end to end: encode corpus and queries as whole texts, search, ten best each."""
-    encoder = plugins.HashingEncoder(plugins.ModelSpec("hashing", 64, None, query_prefix="query: ", passage_prefix="passage: "))
+    encoder = plugins.HashingEncoder(plugins.ModelSpec("hashing", 64, None, {"query": "query: ", "passage": "passage: "}))
     docs = materialize(plugins.encode(spread(_texts(spark, base)), encoder, False))
     asked = materialize(plugins.encode(_asked(spark, base), encoder, True, "qid"))
     parent = lambda df, i: df.select(i, F.col(i).alias("parent"), "embedding")

@@ -108,6 +108,20 @@ def listwise_cost(cells: DataFrame, prices: DataFrame, top_k: int = 100, window:
     return report.cost_estimate(cells, prices, len(rerank.window_starts(top_k, window, stride)), input_tokens, output_tokens)
 
 
+def expansion_prompts(queries: DataFrame, family: str, task: str, lang: str, pairs: DataFrame | None = None) -> DataFrame:
+    """(qid, prompt) of ``queries`` (qid, text).  Keywords for an amended article need its pair (article_id_before,
+    text_before, text_after); a query without one raises and names it."""
+    if family == "task_q2e" and task == "rev2rev":
+        if pairs is None:
+            raise ValueError("task_q2e on rev2rev needs the article pairs")
+        known = pairs.select(F.col("article_id_before").alias("qid"), "text_before", "text_after", F.lit(True).alias("known"))
+        both = queries.join(known, "qid", "left")
+        missing = F.raise_error(F.concat(F.lit("no article pair of query "), "qid")).cast("string")
+        before = F.when(F.col("known"), F.col("text_before")).otherwise(missing)
+        return both.select("qid", T.prompt(F.lit(family), "text", before, "text_after", F.lit(task), F.lit(lang)).alias("prompt"))
+    return queries.select("qid", T.prompt(F.lit(family), "text", "text", F.lit(None).cast("string"), F.lit(task), F.lit(lang)).alias("prompt"))
+
+
 def expand_queries(spark: SparkSession, path: str, prompts: DataFrame, generator: plugins.Generator) -> None:
     """Asks for what is not done yet and merges the answers into the file."""
     try:

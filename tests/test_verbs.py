@@ -130,3 +130,26 @@ def test_ledger_file(spark, tmp_path):
     verbs.listwise_ledger(str(tmp_path / "x.api_ledger.json"), calls, prices, {"window_size": "20"})
     row = spark.read.json(str(tmp_path / "x.api_ledger.json")).first()
     assert (row["n_calls"], row["input_tokens"]) == (3, 16) and row["per_query_calls"]["q1"] == 2 and row["config"]["window_size"] == "20"
+
+
+def test_prompts_by_task_and_language(spark):
+    q = spark.createDataFrame([("a", "why"), ("b", "more")], "qid string, text string")
+    pairs = spark.createDataFrame([("a", "old", None), ("b", None, "new")], "article_id_before string, text_before string, text_after string")
+    got = {r["qid"]: r["prompt"] for r in verbs.expansion_prompts(q, "task_q2e", "rev2rev", "en", pairs).collect()}
+    assert "old" in got["a"] and "deleted" in got["a"] and "new" in got["b"]
+    assert "改正理由: why" in verbs.expansion_prompts(q, "task_q2e", "rat2rev", "ja").first()["prompt"]
+    for bad, message in (((q, "task_q2e", "rev2rev", "en", pairs.limit(1)), "no article pair of query"), ((q, "other", "rat2rev", "en"), "unknown prompt family")):
+        try:
+            verbs.expansion_prompts(*bad).collect()
+            raise AssertionError(message)
+        except Exception as e:
+            assert message in str(e)
+
+
+def test_model_plugins():
+    base = plugins.ModelSpec("enc", 8, 512, {"query": "q: "})
+    spec = plugins.resolve_spec(base, {"max_length": 128, "output_alias": "enc-ft"}, {"max_length": 256, "output_alias": "x"})
+    assert (spec.name, spec.token_limit, spec.before) == ("enc-ft", 128, {"query": "q: "})
+    assert plugins.resolve_spec(base, None, {"max_length": 256}).token_limit == 256 and plugins.resolve_spec(base) == base
+    score = plugins.yes_no_scorer(lambda chats: [(len(c), 1.0) for c in chats], "rank")
+    assert score([("q", "d")]) == [len("<Instruct>: rank\n<Query>: q\n<Document>: d") - 1.0] and score([]) == []
