@@ -49,7 +49,7 @@ _FEATURE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 def _features(text: str) -> np.ndarray:
     """Hashed pairs of neighbouring marks and words: how a source writes rather than what about."""
     marks = _FEATURE.findall(text.lower())
-    shape = ["9" if m.isdigit() else m[:6] for m in marks]
+    shape = ["9" if m.isdigit() else m for m in marks]
     grams = [f"{a}\x1f{b}" for a, b in zip(["^", *shape], shape)]
     return np.fromiter((xxhash.xxh3_64_intdigest(g) % FEATURES for g in grams), dtype=np.int64, count=len(grams))
 
