@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,48 @@ def test_expansion_is_a_weight(spark):
         sparse.best_k(by_text, 0)
 
 
+def test_cell_of_search_in_small_steps(spark, monkeypatch):
+    """Scores in slices, several spaces, repeated and null ids, ties and rare terms, against sums in a dictionary."""
+    rng = random.Random(11)
+    terms = [f"t{i}" for i in range(30)]
+    asked = [(s, q, {t: rng.choice([0.5, 1.25, 2.0]) for t in rng.sample(terms, n)}) for q, s, n in [("q1", "en", 12), ("q2", "en", 3), ("q2", "ja", 5), ("q3", "ja", 1), (None, "en", 4)]]
+    docs = [(s, d, dl, {t: rng.randint(1, 3) for t in rng.sample([*terms, "other"], rng.randint(1, 25))}) for d in [None, *(f"d{i:03}" for i in range(90))] for s, dl in rng.choices([("en", 10), ("ja", 20), ("xx", 5)], k=rng.choice([1, 1, 1, 2]))]
+    docs += [("en", f"e{i}", 10, {"t1": 1, "t2": 1, "t3": 1}) for i in range(20)]
+    expected = {}
+    for s, q, weights in asked:
+        for space, d, dl, tf in docs:
+            if space == s and (shared := weights.keys() & tf.keys()):
+                expected[q, d] = expected.get((q, d), 0) + sum(weights[t] * tf[t] / (tf[t] + 0.9 * (0.6 + 0.4 * dl / 12.5)) for t in shared)
+    schema = pa.schema([("side", pa.int32()), ("space", pa.string()), ("id", pa.string()), ("length", pa.float64()), ("terms", pa.string()), ("tf", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64()))])
+    rows = [{"side": 0, "space": s, "id": q, "length": 12.5, "terms": "\0".join(w), "tf": None, "weight": list(w.values())} for s, q, w in asked]
+    rows += [{"side": 1, "space": s, "id": d, "length": float(dl), "terms": "\0".join(tf), "tf": list(tf.values()), "weight": None} for s, d, dl, tf in docs]
+    key = lambda x: (x[1], x[0] or "")
+    for at_once, held, size in ((4, 10, 3), (60, 10, 7), (4_000_000, 2_500_000, 1000)):
+        monkeypatch.setattr(sparse, "_SCORES_AT_ONCE", at_once)
+        monkeypatch.setattr(sparse, "HELD", held)
+        found = pa.Table.from_batches(sparse._cell(iter(pa.Table.from_pylist(rows, schema).to_batches(size)), 6, 0.9, 0.4)).to_pylist()
+        for q in ("q1", "q2", "q3", None):
+            best = sorted(((d, round(s, 6)) for (p, d), s in expected.items() if p == q), key=key, reverse=True)[:6]
+            assert sorted(((r["doc_id"], round(r["score"], 6)) for r in found if r["qid"] == q), key=key, reverse=True) == best
+        assert len(found) == sum(min(6, sum(p == q for p, _ in expected)) for q in ("q1", "q2", "q3", None))
+
+
+def test_search_over_a_grid_of_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = {f"d{i}": " ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for i in range(80)}
+    asked = {f"q{i}": " ".join(set(rng.choices("abcdefghz", k=3))) for i in range(9)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id string, text string").selectExpr("*", "'en' AS space")
+    q = spark.createDataFrame(list(asked.items()), "qid string, text string").selectExpr("*", "'en' AS space")
+    tokens = T.tokens("text")
+    monkeypatch.setattr(sparse, "BLOCK", 5)
+    monkeypatch.setattr(sparse, "GROUP", 20)
+    monkeypatch.setattr(sparse, "GROUP_BY_K", 1)
+    run = sparse.bm25_search(sparse.query_terms(q, tokens), sparse.postings(df, tokens), sparse.collection_stats(df, tokens), 7).collect()
+    for qid, text in asked.items():
+        best = sorted(_brute_bm25(docs, text).items(), key=lambda x: (x[1], x[0]), reverse=True)[:7]
+        assert [(r["doc_id"], r["score"]) for r in sorted((r for r in run if r["qid"] == qid), key=lambda r: r["rank"])] == best
+
+
 # ---- dense -------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
 from tessera.plans import retrieval
 
@@ -57,3 +58,42 @@ def test_rank_eval_audit_models_counts_every_list(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     columns = ", ".join(("model_key", *names))
     assert {r[0]: r[1:] for r in con.execute(f"SELECT {columns} FROM ({retrieval.ORACLE['rank_eval_audit_models']})").fetchall()} == got
+
+
+def _searched(spark, base) -> int:
+    """Writes tables whose texts share most of their words; returns how many pairs of a query and a document share a term."""
+    words = [f"w{i}" for i in range(40)]
+    corpus = [(f"d{i:03}", "en", " ".join(["the", *words[i % 7 :], f"own{i}"])) for i in range(300)] + [("none", "en", None), ("ja", "ja", "条文の本文")]
+    queries = [(f"q{i}", 50 * i, "en", "rat2rev", " ".join(["the", *words[i % 5 :]])) for i in range(20)] + [("blank", 5000, "en", "rat2rev", " "), ("qja", 6000, "ja", "rat2rev", "本文の条")]
+    expansions = [(i, f"q{i}", "q2e_zs", f"w{i} own{i}") for i in range(10)] + [(100, "q1", "q2e_zs", "own7 own8"), (101, "q2", "q2e_zs", None), (102, "q3", "q2d_zs", "own9")]
+    pairs = [(f"p{i}", f"d{i:03}", "" if i % 5 == 0 else f"own{i + 1} the added") for i in range(50)] + [("pz", "d001", "latest"), ("pn", None, "w1")]
+    spark.createDataFrame(corpus, CORPUS).coalesce(1).write.parquet(f"{base}/corpus.parquet")
+    spark.createDataFrame(queries, QUERIES).coalesce(1).write.parquet(f"{base}/queries.parquet")
+    spark.createDataFrame(expansions, "exp_id bigint, qid string, family string, expansion string").coalesce(1).write.parquet(f"{base}/expansions.parquet")
+    spark.createDataFrame(pairs, "pair_id string, article_id_before string, text_after string").coalesce(1).write.parquet(f"{base}/article_pairs.parquet")
+    return 20 * 300
+
+
+def _shuffled(spark) -> int:
+    """Records that all stages so far have written to exchanges."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["bm25_query_expanded"])
+def test_search_shuffles_neither_postings_nor_pairs(spark, tmp_path, name):
+    pairs = _searched(spark, tmp_path)
+    before = _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for queries that are too many to be broadcast
+    try:
+        got = sorted(tuple(r[c] for c in ("qid", "rank", "doc_id", "score")) for r in retrieval.QUERIES[name](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert _shuffled(spark) - before < pairs
+    con = duckdb.connect()
+    for t in ("corpus", "queries", "expansions", "article_pairs"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT qid, rank, doc_id, score FROM ({retrieval.ORACLE[name]})").fetchall())
+    assert len(got) == 20 * 100 + 1
