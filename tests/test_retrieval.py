@@ -82,7 +82,7 @@ def _shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["bm25_query_expanded", "bm25_doc_augmented"])
+@pytest.mark.parametrize("name", ["bm25_query_expanded", "bm25_doc_augmented", "bm25_stop_words"])
 def test_search_shuffles_neither_postings_nor_pairs(spark, tmp_path, name):
     pairs = _searched(spark, tmp_path)
     before = _shuffled(spark)
