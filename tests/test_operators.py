@@ -160,6 +160,28 @@ def test_search_over_a_grid_of_blocks(spark, monkeypatch):
         assert [(r["doc_id"], r["score"]) for r in sorted((r for r in run if r["qid"] == qid), key=lambda r: r["rank"])] == best
 
 
+def test_search_of_repeated_ids_in_several_parts(spark, monkeypatch):
+    """Ids are neither sorted nor together in the index; rows of one id add up, ties go to the greater id."""
+    rng = random.Random(6)
+    rows = [(f"d{i % 50:02}", " ".join(rng.choices("abcdef", k=6))) for i in range(56)] + [(None, "a b c d e f"), (None, "f e d c b a")] + [(f"e{i}", "a b c d e f") for i in range(9)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "'en' AS space").repartition(7)
+    q = spark.createDataFrame([("q1", "a b"), ("q2", "c d e f a b"), ("q3", "f")], "qid string, text string").selectExpr("*", "'en' AS space")
+    tokens = T.tokens("text")
+    for name, n in (("GROUP", 10), ("GROUP_BY_K", 1), ("BLOCK_TERMS", 3), ("HELD", 60)):
+        monkeypatch.setattr(sparse, name, n)
+    run = sparse.bm25_search(sparse.query_terms(q, tokens), sparse.postings(df, tokens), sparse.collection_stats(df, tokens), 40).collect()
+    single = {str(i): text for i, (_, text) in enumerate(rows)}
+    for qid, text in (("q1", "a b"), ("q2", "c d e f a b"), ("q3", "f")):
+        summed = {}
+        for i, score in _brute_bm25(single, text).items():
+            summed[rows[int(i)][0]] = summed.get(rows[int(i)][0], 0) + score
+        best = sorted(((d, round(s, 6)) for d, s in summed.items()), key=lambda x: (x[1], x[0] or ""), reverse=True)[:40]
+        mine = sorted((r for r in run if r["qid"] == qid), key=lambda r: r["rank"])
+        assert [r["doc_id"] for r in mine] == [d for d, _ in best]
+        assert [r["score"] for r in mine] == pytest.approx([s for _, s in best], abs=1.5e-6)
+
+
 # ---- dense -------------------------------------------------------------------------------------
 
 

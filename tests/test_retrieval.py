@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -97,3 +98,35 @@ def test_search_shuffles_neither_postings_nor_pairs(spark, tmp_path, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert got == sorted(con.execute(f"SELECT qid, rank, doc_id, score FROM ({retrieval.ORACLE[name]})").fetchall())
     assert len(got) == 20 * 100 + 1
+
+
+def _shuffled_bytes(spark) -> int:
+    """Bytes that all stages so far have written to exchanges."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_augmented_search_shuffles_texts_once(spark, tmp_path):
+    """Texts go to the join with their augmentations once, and no document goes to the cells of the search."""
+    rng = random.Random(5)
+    words = [f"{rng.getrandbits(40):010x}" for _ in range(1500)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    spark.createDataFrame([(f"d{i:03}", "en", text(1200)) for i in range(240)], CORPUS).coalesce(1).write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([(f"q{i}", 50 * i, "en", "rat2rev", text(2)) for i in range(3)], QUERIES).coalesce(1).write.parquet(f"{tmp_path}/queries.parquet")
+    spark.createDataFrame([(f"p{i}", f"d{i:03}", text(20)) for i in range(200)], "pair_id string, article_id_before string, text_after string").coalesce(1).write.parquet(f"{tmp_path}/article_pairs.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = [_shuffled_bytes(spark)]
+        spark.read.parquet(f"{tmp_path}/corpus.parquet").repartition(4).write.format("noop").mode("overwrite").save()
+        at.append(_shuffled_bytes(spark))
+        got = sorted(tuple(r[c] for c in ("qid", "rank", "doc_id", "score")) for r in retrieval.QUERIES["bm25_doc_augmented"](spark, str(tmp_path)).collect())
+        at.append(_shuffled_bytes(spark))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert at[2] - at[1] < 1.6 * (at[1] - at[0])
+    con = duckdb.connect()
+    for t in ("corpus", "queries", "article_pairs"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT qid, rank, doc_id, score FROM ({retrieval.ORACLE['bm25_doc_augmented']})").fetchall())
